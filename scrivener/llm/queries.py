@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import clusters, copies, leakage, overlap, splits, terms, tokens, topn
+from . import clusters, copies, leakage, overlap, splits, terms, tokens, topn, truncated
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +93,15 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.clean(table(spark, d, "documents"), _leaks(spark, d)).select("doc_id", "source")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated.cut_scores(table(spark, d, "documents")).where("score >= 0.5").select("doc_id")
+
+
+def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return truncated.by_source(truncated.cut_scores(table(spark, d, "documents")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p2_found, p3_found, p3_typical, p4_found, p4_counts, p5_found, p5_counts, p6_found, p6_report, p7_ids, p7_roundtrip, p8_found, p8_items, p8_clean)
+    for f in (p1_found, p1_splits, p2_found, p3_found, p3_typical, p4_found, p4_counts, p5_found, p5_counts, p6_found, p6_report, p7_ids, p7_roundtrip, p8_found, p8_items, p8_clean, p9_found, p9_by_source)
 }
