@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import insort
-from math import floor
+from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,34 +58,30 @@ def share_out(sizes: list[tuple[int, int]], shares: list[tuple[str, float]]) ->
     size are alike, so only how many of them each split takes matters: of the values d - k * size (d: what a split lacks,
     k = 0, 1, ...) the largest ones count. They are found by bisection, so a class of a billion single records costs no more than one of three.
     """
+    parts = {n: Fraction(str(max(0.0, p or 0.0))) for n, p in sorted(shares)}
+    weight = sum(parts.values()) or Fraction(1)
+    unit = lcm(*((p / weight).denominator for p in parts.values()))
     total = sum(s * c for s, c in sizes)
-    weight = sum(max(0.0, p or 0.0) for _, p in shares) or 1.0
-    lack = {name: max(0.0, p or 0.0) / weight * total for name, p in sorted(shares)}
+    lack = {n: int(p / weight * unit) * total for n, p in parts.items()}  # in units of 1 / unit records, so that all is whole
     out = []
     for size, count in sorted(sizes, reverse=True):
-        lo, hi = min(lack.values()) - size * (count + 1.0), max(lack.values())
-        take = lambda level: {n: max(0, floor((d - level) / size)) for n, d in lack.items()}
-        for _ in range(100):
-            mid = (lo + hi) / 2
-            if sum(take(mid).values()) > count:
-                lo = mid
-            else:
-                hi = mid
-        got = take(hi)
-        if sum(got.values()) > count:
-            got = dict.fromkeys(lack, 0)
-        left = [(-(d - got[n] * size), n) for n, d in lack.items()]
-        left.sort()
-        for _ in range(count - sum(got.values())):
-            d, n = left.pop(0)
-            got[n] += 1
-            insort(left, (d + size, n))
+        step = size * unit
+        above = lambda level: {n: max(0, -((level - d) // step)) for n, d in lack.items()}
+        lo, hi = min(lack.values()) - step * (count + 1), max(lack.values())
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if sum(above(mid).values()) > count else (lo, mid)
+        got = above(lo)
+        rest = count - sum(got.values())
+        for n, d in lack.items():
+            if rest and d - got[n] * step == lo:
+                got[n], rest = got[n] + 1, rest - 1
         rank = 1
         for n in lack:
             if got[n]:
                 out.append((size, rank, rank + got[n] - 1, n))
                 rank += got[n]
-            lack[n] -= got[n] * size
+            lack[n] -= got[n] * step
     return out
 
 
