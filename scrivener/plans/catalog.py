@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from ..sources.tables import table
+from . import q_text
 from .registry import Registry
 
 REGISTRY = Registry()
+for part in (q_text,):
+    REGISTRY.merge(part.R)
 
 
 def FLAGSHIP(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return REGISTRY.queries["g_issue_groups"](spark, d)
