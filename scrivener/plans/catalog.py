@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import q_text
+from . import q_tables, q_text
 from .registry import Registry
 
 REGISTRY = Registry()
-for part in (q_text,):
+for part in (q_text, q_tables):
     REGISTRY.merge(part.R)
 
 
