@@ -54,6 +54,13 @@ def last_word(body: str) -> str:
     return (body[-100:].split() or [""])[-1].strip("“”‘’\"'()[]*_")
 
 
+def short_form(word: str) -> str | None:
+    """The word before a full stop, as it is counted (a text in capitals counts with those in small letters); null without a stop."""
+    if not word.endswith("."):
+        return None
+    return word[:-1].lower() if len(word) > 2 and word.isupper() else word[:-1]
+
+
 def features(body: str, entries: bool, abbreviated: bool, at_limit: bool, reported: int | None, size: int) -> list[str]:
     whole, body = body, _MARK.sub("", body)
     closed = body.rstrip(_CLOSERS)
@@ -118,9 +125,9 @@ def _words(common: list[str]):
             for text, under in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 body, _, _ = ending(text, {*common, *(under or [])})
                 ws = [w for w in (x.strip("“”‘’\"'()[]*_,;:!?") for x in body.split()) if w]
-                ends.update(w[:-1] for w in ws[-1:] if w.endswith("."))
-                dotted.update(w[:-1] for w in ws[:-1] if w.endswith("."))
-                plain.update(w for w in ws if not w.endswith("."))
+                ends.update(filter(None, map(short_form, ws[-1:])))
+                dotted.update(filter(None, map(short_form, ws[:-1])))
+                plain.update(w.lower() if len(w) > 1 and w.isupper() else w for w in ws if not w.endswith("."))
             words = list({*dotted, *ends})
             columns = [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (dotted, plain, ends))]
             yield pa.RecordBatch.from_arrays(columns, names=["word", "dotted", "plain", "ends"])
@@ -151,7 +158,7 @@ def _examples(common: list[str]):
             for text, under, limit, reported in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 body, _, entries = ending(text, {*common, *(under or [])})
                 stem = body.rstrip(_CLOSERS)
-                if not stem or not (stem[-1] in _ENDS or (entries and stem[-1] == ":")) or last_word(body)[:-1] in known:
+                if not stem or not (stem[-1] in _ENDS or (entries and stem[-1] == ":")) or short_form(last_word(body)) in known:
                     continue
                 rows.append(_hashed(features(body, entries, False, bool(limit), reported, len(text))))
                 labels.append(0)
@@ -161,7 +168,7 @@ def _examples(common: list[str]):
                     if draw.random() < 0.05 and (dots := [m.end() for m in re.finditer(r"(\w+)\.", stem) if m.group(1) in known]):
                         at = draw.choice(dots)
                     part = stem[:at].rstrip()
-                    short = last_word(part)[:-1] in known and part.endswith(".")
+                    short = part.endswith(".") and short_form(last_word(part)) in known
                     if not part or (part.rstrip(_CLOSERS)[-1:] in _ENDS and not short):
                         continue
                     part += draw.choice(["", "", "", "", "…", "...", " [", "�"])
@@ -179,8 +186,7 @@ def _ends(common: list[str]):
             words = []
             for text, under in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 body = _MARK.sub("", ending(text, {*common, *(under or [])})[0])
-                word = last_word(body)
-                words.append(word[:-1] if word.endswith(".") else None)
+                words.append(short_form(last_word(body)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), batch.column(5), pa.array(words, pa.string())], names=["doc_id", "text", "under", "source", "n_chars", "limited", "word"])
 
     return run
@@ -222,7 +228,7 @@ def cut_scores(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
     sample = docs if n <= sample_texts else docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * sample_texts / n))
     known = F.array_sort(F.slice(F.collect_set("word"), 1, 1000)).alias("known")
     short = words.orderBy("word").limit(1000).agg(known).first()[0]
-    examples = sample.select("text", "under", "limited", "n_chars", F.array(*[F.lit(w) for w in short]).cast("array<string>")).mapInArrow(_examples(common), "at array<int>, label int")
+    examples = sample.select("text", "under", "limited", "n_chars", F.array(*[F.lit(w) for w in short]).cast("array<string>").alias("known")).mapInArrow(_examples(common), "at array<int>, label int")
     weights = spark.sparkContext.broadcast(fit([(r[0], r[1]) for r in examples.collect()]))
     ended = docs.select("doc_id", "text", "under", "source", "n_chars", "limited").mapInArrow(
         _ends(common), "doc_id long, text string, under array<string>, source string, n_chars long, limited boolean, word string"
