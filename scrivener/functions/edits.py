@@ -15,7 +15,7 @@ def char_edits(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b)
 
 
-def _coded(ws: Column, known: Column) -> Column:
+def coded(ws: Column, known: Column) -> Column:
     """Words as one character each: code point 0x100 + place in `known`."""
     return F.decode(F.unhex(F.array_join(F.transform(ws, lambda w: F.lpad(F.hex(F.array_position(known, w) + 256), 4, "0")), "")), "UTF-16BE")
 
@@ -24,7 +24,7 @@ def word_edits(a: Column, b: Column) -> Column:
     """Word edit distance of two normalised texts; exact up to some 55,000 distinct words in a pair."""
     aw, bw = words(a), words(b)
     known = F.array_distinct(F.concat(aw, bw))
-    return F.levenshtein(_coded(aw, known), _coded(bw, known))
+    return F.levenshtein(coded(aw, known), coded(bw, known))
 
 
 def loss(word: Column, char: Column) -> Column:
