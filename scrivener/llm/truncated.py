@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 #: Texts that the classifier is fitted on at most, hashed features, and passes over the sample.
 SAMPLE_TEXTS = 20_000
 FEATURES = 1 << 12
@@ -61,7 +63,8 @@ def short_form(word: str) -> str | None:
     return word[:-1].lower() if len(word) > 2 and word.isupper() else word[:-1]
 
 
-def features(body: str, entries: bool, abbreviated: bool, at_limit: bool, reported: int | None, size: int) -> list[str]:
+def features(body: str, entries: bool, at_limit: bool, reported: int | None, size: int) -> list[str]:
+    """All but whether the last word is an abbreviation (see shortened)."""
     whole, body = body, _MARK.sub("", body)
     closed = body.rstrip(_CLOSERS)
     end = closed[-1:] if closed[-1:] in _ENDS else body[-1:]
@@ -69,7 +72,7 @@ def features(body: str, entries: bool, abbreviated: bool, at_limit: bool, report
     cut = len(body) < len(whole) and not whole.endswith("....")
     tail = body[-400:]
     tail = tail[max(tail.rfind("\n\n"), 0):]
-    out = [f"end {kind}", f"entries {entries} {kind}", f"mark {cut}", f"short {abbreviated}", f"open {tail.count('“') > tail.count('”')} {kind}"]
+    out = [f"end {kind}", f"entries {entries} {kind}", f"mark {cut}", f"open {tail.count('“') > tail.count('”')} {kind}"]
     if kind == "other":
         out.append(f"sign {end} {entries}")
     if kind == "letter":
@@ -79,6 +82,10 @@ def features(body: str, entries: bool, abbreviated: bool, at_limit: bool, report
     return out
 
 
+def shortened(abbreviated: bool) -> str:
+    return f"short {abbreviated}"
+
+
 def _hashed(names: list[str]) -> list[int]:
     return [crc32(n.encode()) % FEATURES for n in names]
 
@@ -101,19 +108,20 @@ def fit(rows: list[tuple[list[int], int]]) -> np.ndarray:
     return w
 
 
-def lines_under(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+def lines_under(docs: DataFrame) -> tuple[DataFrame, list[str], int]:
     """(source, under): lines that stand under a good part of a source's texts, three at most; and those under a part of all texts, 200 at
-    most, by the shares above."""
+    most, by the shares above; and the number of texts."""
     last = F.trim(F.element_at(F.split(F.expr("trim(trailing ' \t\r\n' from text)"), "\n"), -1))
     ends = docs.select("source", last.alias("line")).where("line != '' and length(line) <= 200").groupBy("source", "line").agg(F.count("*").alias("n"))
-    sizes = docs.groupBy(F.col("source").alias("of_source")).agg(F.count("*").alias("of"))
-    per_source = (
+    ends = checkpoint(ends)
+    sizes = checkpoint(docs.groupBy(F.col("source").alias("of_source")).agg(F.count("*").alias("of")))
+    per_source = checkpoint(
         ends.where(f"n >= {LEAST}").join(sizes, F.col("source").eqNullSafe(F.col("of_source"))).where(F.col("n") >= F.col("of") * SOURCE_SHARE)
         .groupBy("source").agg(F.collect_set("line").alias("under"))
     )
-    n = docs.count()
+    n = sizes.agg(F.sum("of")).first()[0] or 0
     common = ends.groupBy("line").agg(F.sum("n").alias("n")).where(f"n >= {max(LEAST, n * CORPUS_SHARE)}")
-    return per_source, [r[0] for r in common.select("line").collect()]
+    return per_source, [r[0] for r in common.select("line").collect()], n
 
 
 def _words(common: list[str]):
@@ -160,7 +168,7 @@ def _examples(common: list[str]):
                 stem = body.rstrip(_CLOSERS)
                 if not stem or not (stem[-1] in _ENDS or (entries and stem[-1] == ":")) or short_form(last_word(body)) in known:
                     continue
-                rows.append(_hashed(features(body, entries, False, bool(limit), reported, len(text))))
+                rows.append(_hashed([*features(body, entries, bool(limit), reported, len(text)), shortened(False)]))
                 labels.append(0)
                 draw = random.Random(crc32(text.encode("utf-8", "replace")))
                 for _ in range(2):
@@ -173,35 +181,25 @@ def _examples(common: list[str]):
                         continue
                     part += draw.choice(["", "", "", "", "…", "...", " [", "�"])
                     told = draw.choice([reported, len(part), len(part)])
-                    rows.append(_hashed(features(part, entries and draw.random() < 0.5, short, draw.random() < 0.4, told, len(part))))
+                    rows.append(_hashed([*features(part, entries and draw.random() < 0.5, draw.random() < 0.4, told, len(part)), shortened(short)]))
                     labels.append(1)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(labels, pa.int32())], names=["at", "label"])
 
     return run
 
 
-def _ends(common: list[str]):
-    def run(batches):
-        for batch in batches:
-            words = []
-            for text, under in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                body = _MARK.sub("", ending(text, {*common, *(under or [])})[0])
-                words.append(short_form(last_word(body)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), batch.column(5), pa.array(words, pa.string())], names=["doc_id", "text", "under", "source", "n_chars", "limited", "word"])
-
-    return run
-
+def _sums(common: list[str], weights):
+    """Of each text the sum of its weights but for the last word's, and that word if it has a full stop."""
 
-def _score(common: list[str], weights):
     def run(batches):
         w = weights.value
         for batch in batches:
-            out = []
-            for text, under, reported, limited, short in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4, 5, 6))):
+            sums, words = [], []
+            for text, under, reported, limited in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4, 5))):
                 body, _, entries = ending(text, {*common, *(under or [])})
-                z = w[-1] + sum(w[i] for i in _hashed(features(body, entries, bool(short), bool(limited), reported, len(text))))
-                out.append(float(1 / (1 + np.exp(-z))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(out, pa.float64())], names=["doc_id", "source", "score"])
+                sums.append(float(w[-1] + sum(w[i] for i in _hashed(features(body, entries, bool(limited), reported, len(text))))))
+                words.append(short_form(last_word(_MARK.sub("", body))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(sums, pa.float64()), pa.array(words, pa.string())], names=["doc_id", "source", "z", "word"])
 
     return run
 
@@ -217,25 +215,24 @@ def cut_scores(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
     docs = docs.where(F.col("text").rlike(r"(?U)\S"))
-    per_source, common = lines_under(docs)
+    per_source, common, n = lines_under(docs)
     per_source = per_source.withColumnRenamed("source", "source_")
-    docs = docs.join(per_source, docs["source"].eqNullSafe(per_source["source_"]), "left").drop("source_")
     lengths = docs.groupBy("source", F.length("text").alias("size")).agg(F.countDistinct(F.xxhash64("text")).alias("n"))
-    limits = lengths.where(f"n >= {LEAST}").select(F.col("source").alias("source_"), "size", F.lit(True).alias("limited"))
+    limits = checkpoint(lengths.where(f"n >= {LEAST}").select(F.col("source").alias("source_"), "size", F.lit(True).alias("limited")))
+    docs = docs.join(per_source, docs["source"].eqNullSafe(per_source["source_"]), "left").drop("source_")
     docs = docs.join(limits, docs["source"].eqNullSafe(limits["source_"]) & (F.length("text") == F.col("size")), "left").drop("source_", "size")
-    words = abbreviations(docs, common)
-    n = docs.count()
+    words = checkpoint(abbreviations(docs, common))
     sample = docs if n <= sample_texts else docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * sample_texts / n))
     known = F.array_sort(F.slice(F.collect_set("word"), 1, 1000)).alias("known")
     short = words.orderBy("word").limit(1000).agg(known).first()[0]
     examples = sample.select("text", "under", "limited", "n_chars", F.array(*[F.lit(w) for w in short]).cast("array<string>").alias("known")).mapInArrow(_examples(common), "at array<int>, label int")
-    weights = spark.sparkContext.broadcast(fit([(r[0], r[1]) for r in examples.collect()]))
-    ended = docs.select("doc_id", "text", "under", "source", "n_chars", "limited").mapInArrow(
-        _ends(common), "doc_id long, text string, under array<string>, source string, n_chars long, limited boolean, word string"
+    w = fit([(r[0], r[1]) for r in examples.collect()])
+    sums = docs.select("doc_id", "text", "under", "source", "n_chars", "limited").mapInArrow(
+        _sums(common, spark.sparkContext.broadcast(w)), "doc_id long, source string, z double, word string"
     )
-    words = words.select("word", F.lit(True).alias("short"))
-    ended = ended.join(words, "word", "left").select("doc_id", "text", "under", "source", "n_chars", "limited", "short")
-    return ended.mapInArrow(_score(common, weights), "doc_id long, source string, score double")
+    yes, no = (float(w[_hashed([shortened(x)])[0]]) for x in (True, False))
+    z = F.col("z") + F.when(F.col("short"), yes).otherwise(no)
+    return sums.join(words.select("word", F.lit(True).alias("short")), "word", "left").select("doc_id", "source", (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def by_source(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
