@@ -96,3 +96,13 @@ def isotonic(df: DataFrame, x: str, y: str, increasing: bool = True) -> DataFram
         return pd.DataFrame({"x": pdf["x"].to_numpy(), "fitted": out})
 
     return v.select(F.col(x).cast("double").alias("x"), "w", "m").groupBy(F.lit(1).alias("g")).applyInPandas(pool, "x double, fitted double")
+
+
+def numbered_dense(df: DataFrame, key: str, band: int = 50_000) -> DataFrame:
+    """df with `place`: 0, 1, 2, ... for the distinct values of a whole-number key in order; counted by bands of the key."""
+    v = df.select(key).distinct().withColumn("band_", F.floor(F.col(key) / band))
+    n = v.groupBy("band_").agg(F.count("*").alias("n_"))
+    before = n.select("band_", (F.sum("n_").over(Window.orderBy("band_")) - F.col("n_")).alias("before_"))
+    at = F.row_number().over(Window.partitionBy("band_").orderBy(key))
+    v = v.withColumn("i_", at).join(before, "band_").select(key, (F.col("i_") + F.col("before_") - 1).alias("place"))
+    return df.join(v, key)
