@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import q_eval, q_pool, q_similar, q_tables, q_text
+from . import q_align, q_eval, q_pool, q_records, q_similar, q_tables, q_text
 from .registry import Registry
 
 REGISTRY = Registry()
-for part in (q_text, q_tables, q_pool, q_eval, q_similar):
+for part in (q_text, q_tables, q_pool, q_eval, q_similar, q_records, q_align):
     REGISTRY.merge(part.R)
 
 
