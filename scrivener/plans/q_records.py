@@ -84,10 +84,10 @@ def x_odd_characters(spark, d):
 _REPLY = "regexp_replace(regexp_replace(raw, '^\\s*```[a-zA-Z0-9_-]*\\s*\\n', ''), '\\n\\s*```\\s*$', '')"
 _WIDE = "nullif(regexp_extract(" + _REPLY + ", '(?s)\\{.*\\}'), '')"
 _MADE = "regexp_replace(replace(replace(replace(" + _WIDE + ", '“', chr(34)), '”', chr(34)), '’', chr(39)), ',\\s*\\}', '}')"
-_OBJ = f"coalesce(try_cast({_WIDE} as json), try_cast({_MADE} as json))"
+_OBJ = f"coalesce(case when not regexp_matches({_WIDE}, ',\\s*[}}\\]]') then try_cast({_WIDE} as json) end, try_cast({_MADE} as json))"
 
 
-@R.add(f"with o as (select cand_no, raw, {_OBJ} as j from candidate where raw is not null) select cand_no, case when j is not null then coalesce(json_extract_string(j, '$.reading'), '') else trim(regexp_replace(trim(raw, ' '), '^`+|`+$', '', 'g')) end as text, json_extract_string(j, '$.ink') as ink, j is not null as parsed from o")
+@R.add(f"with o as (select cand_no, raw, {_OBJ} as j from candidate where raw is not null) select cand_no, case when j is not null then coalesce(json_extract_string(j, '$.reading'), '') else trim(regexp_replace(trim(raw, ' '), '^`+|`+$', '', 'g'), ' ') end as text, json_extract_string(j, '$.ink') as ink, j is not null as parsed from o")
 def t_parse_reply(spark, d):
     """Reading, ink and whether the reply was an object; strict, then repaired, then what a broken object says, then the reply itself."""
     t = table(spark, d, "candidate").where("raw is not null").select("cand_no", C.reading_of(F.col("raw")).alias("a"))
