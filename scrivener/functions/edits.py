@@ -21,10 +21,13 @@ def coded(ws: Column, known: Column) -> Column:
 
 
 def word_edits(a: Column, b: Column) -> Column:
-    """Word edit distance of two normalised texts; exact up to some 55,000 distinct words in a pair."""
-    aw, bw = words(a), words(b)
-    known = F.array_distinct(F.concat(aw, bw))
-    return F.levenshtein(coded(aw, known), coded(bw, known))
+    """Word edit distance of two normalised texts; exact up to some 55,000 distinct words in a pair.
+
+    The words and the list of distinct ones are bound by one-element transforms, so that each is made once a pair.
+    """
+    both = F.array(F.struct(words(a).alias("a"), words(b).alias("b")))
+    far = lambda p: F.transform(F.array(F.array_distinct(F.concat(p["a"], p["b"]))), lambda known: F.levenshtein(coded(p["a"], known), coded(p["b"], known)))[0]
+    return F.when(a.isNotNull() & b.isNotNull(), F.transform(both, far)[0])
 
 
 def loss(word: Column, char: Column) -> Column:
