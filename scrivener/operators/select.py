@@ -40,11 +40,11 @@ def expected_loss(readings: DataFrame, score: str, temperature: float) -> DataFr
     (over the others; 0 for a single reading). Each pair is measured once and used both ways."""
     readings = checkpoint(readings)
     both = both_ways(line_pairs(readings))
-    p = readings.select(F.col("cand_id").alias("a"), softmax_within(F.col(score), ["ID"], temperature).alias("p"))
-    s = both.join(p, "a").groupBy(F.col("b").alias("cand_id")).agg(F.sum("loss").alias("s"), F.sum(F.col("loss") * F.col("p")).alias("e"), F.min("loss").alias("lo"))
+    p = readings.select("ID", F.col("cand_id").alias("a"), softmax_within(F.col(score), ["ID"], temperature).alias("p"))
+    s = both.join(p, ["ID", "a"]).groupBy("ID", F.col("b").alias("cand_id")).agg(F.sum("loss").alias("s"), F.sum(F.col("loss") * F.col("p")).alias("e"), F.min("loss").alias("lo"))
     k = F.count("*").over(Window.partitionBy("ID"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return readings.join(s, "cand_id", "left").withColumn("k", k).select(
+    return readings.join(s, ["ID", "cand_id"], "left").withColumn("k", k).select(
         *readings.columns, (zero("s") / F.col("k")).alias("mbr_uniform"), zero("e").alias("mbr_judge"), zero("lo").alias("loss_min_other"),
         (zero("s") / F.greatest(F.col("k") - 1, F.lit(1))).alias("loss_mean_other"),
     )

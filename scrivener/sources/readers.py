@@ -44,7 +44,7 @@ def by_name(spark: SparkSession, pattern: str, fields: list[str], schema: T.Stru
 
 def sections(spark: SparkSession, path) -> DataFrame:
     """(file, no, title, body) of Markdown files, one row per `## ` heading; what stands before the first heading is left out."""
-    t = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     parts = F.split(F.concat(F.lit("\n"), F.col("value")), r"\n## ")
     t = t.select("file", F.posexplode(parts).alias("no", "part")).where("no > 0")
     title = F.trim(F.regexp_extract("part", r"^([^\n]*)", 1))
