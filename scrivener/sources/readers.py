@@ -48,7 +48,7 @@ def sections(spark: SparkSession, path) -> DataFrame:
     parts = F.split(F.concat(F.lit("\n"), F.col("value")), r"\n## ")
     t = t.select("file", F.posexplode(parts).alias("no", "part")).where("no > 0")
     title = F.trim(F.regexp_extract("part", r"^([^\n]*)", 1))
-    return t.select("file", "no", title.alias("title"), F.trim(F.regexp_replace("part", r"^[^\n]*\n?", "")).alias("body"))
+    return t.select("file", "no", title.alias("title"), F.regexp_replace(F.regexp_replace("part", r"^[^\n]*\n?", ""), r"^\s+|\s+$", "").alias("body"))
 
 
 def pick_sections(all_sections: DataFrame, wanted: list[str]) -> DataFrame:
