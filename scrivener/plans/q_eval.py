@@ -166,7 +166,7 @@ def m_reliability(spark, d):
 _RANKS = "rk as (select source, loss, gen_mean, case when loss = 0 then 1 else 0 end as good, rank() over (partition by source order by gen_mean) + (count(*) over (partition by source, gen_mean) - 1) / 2.0::double as rx, rank() over (partition by source order by loss) + (count(*) over (partition by source, loss) - 1) / 2.0::double as ry from scored where gen_mean is not null)"
 
 
-@R.add(W(*S, _RANKS) + "select source, round(corr(rx, ry), 6) as rho, count(*) as n from rk group by 1")
+@R.add(W(*S, _RANKS) + "select source, round(case when not isnan(corr(rx, ry)) then corr(rx, ry) end, 6) as rho, count(*) as n from rk group by 1")
 def g_spearman(spark, d):
     t = E.spearman(base.scored(spark, d).where("gen_mean is not null"), "gen_mean", "loss", ["source"])
     return t.select("source", r6(F.col("rho"), "rho"), "n")
@@ -194,7 +194,7 @@ def g_ks(spark, d):
     return E.ks_statistic(t, "x", "side").select(r6(F.col("ks"), "ks"))
 
 
-@R.add(W(sql.IMG, "t as (select tall, width::double as x, contrast as y from img where contrast is not null and not isnan(contrast))") + "select tall, round(corr(x, y), 6) as r, count(*) as n from t group by 1")
+@R.add(W(sql.IMG, "t as (select tall, width::double as x, contrast as y from img where contrast is not null and not isnan(contrast))") + "select tall, round(case when not isnan(corr(x, y)) then corr(x, y) end, 6) as r, count(*) as n from t group by 1")
 def g_pearson(spark, d):
     t = base.images(spark, d).where("contrast is not null and not isnan(contrast)")
     return t.groupBy("tall").agg(r6(F.corr("width", "contrast"), "r"), F.count("*").alias("n"))
@@ -204,7 +204,7 @@ _F = ("width", "height", "contrast", "ink_frac")
 
 
 @R.add(W(sql.IMG, sql.LAB, "t as (select i.*, length(l.label) as n_chars from img i join lab l using (ID))",
-         "rr as (" + " union all ".join(f"select '{c}' as feature, rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0::double as rx, rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2.0::double as ry from t where {c} is not null and not isnan({c}::double)" for c in _F) + ")") + "select feature, round(corr(rx, ry), 6) as rho, count(*) as n from rr group by 1 having count(*) > 100")
+         "rr as (" + " union all ".join(f"select '{c}' as feature, rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0::double as rx, rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2.0::double as ry from t where {c} is not null and not isnan({c}::double)" for c in _F) + ")") + "select feature, round(case when not isnan(corr(rx, ry)) then corr(rx, ry) end, 6) as rho, count(*) as n from rr group by 1 having count(*) > 100")
 def g_spearman_matrix(spark, d):
     """Rank correlation of image features with the length of the label, where there are more than 100 finite pairs."""
     t = base.images(spark, d).join(base.labels(spark, d).select("ID", F.length("label").alias("n_chars")), "ID")

@@ -84,11 +84,11 @@ ex as (select t.ID, t.cand_id, t.hyp, n.k, coalesce(s, 0) / n.k as mbr_uniform,
   from pt t join n using (ID) left join agg using (cand_id))"""
 
 
-@R.add(W(sql.POOL, _PT, *_PAIRS, _POST) + "select cand_id, round(mbr_uniform, 6) as mbr_uniform, round(mbr_judge, 6) as mbr_judge, round(loss_min_other, 6) as loss_min_other, round(loss_mean_other, 6) as loss_mean_other from ex")
+@R.add(W(sql.POOL, _PT, *_PAIRS, _POST) + "select cand_id, round(mbr_uniform, 9) as mbr_uniform, round(mbr_judge, 9) as mbr_judge, round(loss_min_other, 9) as loss_min_other, round(loss_mean_other, 9) as loss_mean_other from ex")
 def r_expected_loss(spark, d):
     """Expected loss of each reading, with equal weights (over all, itself included) and by posterior; least and mean loss to the others."""
     e = expected_loss(base.pool_texts(spark, d), "gen_mean", 0.5)
-    return e.select("cand_id", *[r6(F.col(c), c) for c in ("mbr_uniform", "mbr_judge", "loss_min_other", "loss_mean_other")])
+    return e.select("cand_id", *[F.round(c, 9).alias(c) for c in ("mbr_uniform", "mbr_judge", "loss_min_other", "loss_mean_other")])
 
 
 _MBR = ("""d as (select ID, hyp, sum(p) as p from pt join q using (ID, cand_id) group by 1, 2)""",

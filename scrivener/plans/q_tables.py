@@ -267,21 +267,21 @@ FEATURES = ("contrast", "stroke_w", "lap_var_norm", "ink_frac")
 _OK = "not isnan({0}) and {0} is not null"
 
 
-@R.add(W(sql.IMG) + " union all ".join(f"select tall, '{c}' as feature, count(*) as n, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as sd, min({c}) as lo, round(quantile_cont({c}, 0.25), 6) as q1, round(quantile_cont({c}, 0.5), 6) as q2, round(quantile_cont({c}, 0.75), 6) as q3, max({c}) as hi from img where {_OK.format(c)} group by tall" for c in FEATURES))
+@R.add(W(sql.IMG) + " union all ".join(f"select tall, '{c}' as feature, count(*) as n, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as sd, min({c}) as lo, round(quantile_cont({c}, 0.25), 9) as q1, round(quantile_cont({c}, 0.5), 9) as q2, round(quantile_cont({c}, 0.75), 9) as q3, max({c}) as hi from img where {_OK.format(c)} group by tall" for c in FEATURES))
 def g_describe(spark, d):
     """Description of several columns per group in one pass: the columns are turned into rows first."""
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in FEATURES])
     t = base.images(spark, d).select("tall", F.inline(rows)).where("x is not null and not isnan(x)")
-    q = lambda p: F.round(F.percentile("x", F.lit(p)), 6)
+    q = lambda p: F.round(F.percentile("x", F.lit(p)), 9)
     return t.groupBy("tall", "feature").agg(
         F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_samp("x"), 6).alias("sd"), F.min("x").alias("lo"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.max("x").alias("hi")
     )
 
 
-@R.add(W(sql.IMG) + "select coalesce(split, 'none') as split, " + ", ".join(f"round(quantile_cont({c}, 0.5) filter (not isnan({c})), 6) as {c}" for c in FEATURES) + ", count(*) filter (height > 150) as high from img group by 1")
+@R.add(W(sql.IMG) + "select coalesce(split, 'none') as split, " + ", ".join(f"round(quantile_cont({c}, 0.5) filter (not isnan({c})), 9) as {c}" for c in FEATURES) + ", count(*) filter (height > 150) as high from img group by 1")
 def g_medians(spark, d):
     t = base.images(spark, d).withColumn("split", F.coalesce("split", F.lit("none")))
-    return t.groupBy("split").agg(*[F.round(F.percentile(F.when(~F.isnan(c), F.col(c)), F.lit(0.5)), 6).alias(c) for c in FEATURES], F.count_if(F.col("height") > 150).alias("high"))
+    return t.groupBy("split").agg(*[F.round(F.percentile(F.when(~F.isnan(c), F.col(c)), F.lit(0.5)), 9).alias(c) for c in FEATURES], F.count_if(F.col("height") > 150).alias("high"))
 
 
 @R.add(W(sql.IMG) + "select vcluster, count(*) as n, count(*) filter (split = 'train') as train, count(*) filter (split = 'test') as test, count(*) filter (split = 'extra') as extra, quantile_cont(height::double, 0.5) as height, round(quantile_cont(contrast, 0.5) filter (not isnan(contrast)), 6) as contrast from img where vcluster >= 0 group by 1")
