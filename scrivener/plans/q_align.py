@@ -36,7 +36,7 @@ def e_word_classes(spark, d):
     return t.groupBy("source", word_error_class(F.col("o.src"), F.col("o.dst")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@R.add(W(sql.LAB, sql.TOP, sql.SCORED) + "select source, sum(ce) as chars, sum(we) as words, count(*) filter (we = 0) as perfect, round(avg(length(hyp) - length(ref)), 6) as longer from scored group by 1")
+@R.add(W(sql.LAB, sql.TOP, sql.SCORED) + "select source, cast(sum(ce) as bigint) as chars, cast(sum(we) as bigint) as words, count(*) filter (we = 0) as perfect, round(avg(length(hyp) - length(ref)), 6) as longer from scored group by 1")
 def e_totals(spark, d):
     """Edits, perfect lines and difference in length per system."""
     return base.scored(spark, d).groupBy("source").agg(F.sum("ce").alias("chars"), F.sum("we").alias("words"), F.count_if(F.col("we") == 0).alias("perfect"), F.round(F.avg(F.length("hyp") - F.length("ref")), 6).alias("longer"))

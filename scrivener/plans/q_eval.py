@@ -77,7 +77,7 @@ def g_worst_share(spark, d):
     return t.groupBy("source").agg(F.sum(F.when(F.expr("r <= greatest(1, n div 20)"), F.col("loss"))).alias("a"), F.sum("loss").alias("b")).where("b > 0").select("source", r6(F.col("a") / F.col("b"), "worst_share"))
 
 
-@R.add(W(*S, "m as (" + " union all ".join(f"select source, '{c}' as mark, length(hyp) - length(replace(hyp, '{c}', '')) as p, length(ref) - length(replace(ref, '{c}', '')) as t from scored" for c in "&^:,") + ")") + "select source, mark, sum(p) as written, sum(t) as there, round(sum(p)::double / greatest(sum(t), 1), 6) as ratio from m group by 1, 2")
+@R.add(W(*S, "m as (" + " union all ".join(f"select source, '{c}' as mark, length(hyp) - length(replace(hyp, '{c}', '')) as p, length(ref) - length(replace(ref, '{c}', '')) as t from scored" for c in "&^:,") + ")") + "select source, mark, cast(sum(p) as bigint) as written, cast(sum(t) as bigint) as there, round(sum(p)::double / greatest(sum(t), 1), 6) as ratio from m group by 1, 2")
 def g_markup_ratio(spark, d):
     n = lambda c, m: F.length(c) - F.length(F.replace(F.col(c), F.lit(m)))
     m = F.array(*[F.struct(F.lit(c).alias("mark"), n("hyp", c).alias("p"), n("ref", c).alias("t")) for c in "&^:,"])
@@ -85,7 +85,7 @@ def g_markup_ratio(spark, d):
     return t.withColumn("ratio", F.round(F.col("written") / F.greatest("there", F.lit(1)), 6))
 
 
-@R.add(W(*S) + "select a.source as a, b.source as b, count(*) as n, count(*) filter (a.loss > b.loss + 1e-12) as improved, count(*) filter (a.loss < b.loss - 1e-12) as worsened, round(avg(a.loss - b.loss), 6) as delta, sum(a.we - b.we) as words_saved, sum(a.ce - b.ce) as chars_saved from scored a join scored b on a.ID = b.ID and a.source < b.source group by 1, 2")
+@R.add(W(*S) + "select a.source as a, b.source as b, count(*) as n, count(*) filter (a.loss > b.loss + 1e-12) as improved, count(*) filter (a.loss < b.loss - 1e-12) as worsened, round(avg(a.loss - b.loss), 6) as delta, cast(sum(a.we - b.we) as bigint) as words_saved, cast(sum(a.ce - b.ce) as bigint) as chars_saved from scored a join scored b on a.ID = b.ID and a.source < b.source group by 1, 2")
 def m_paired_delta(spark, d):
     """Pairs of systems over the lines both read: gains, losses, edits saved."""
     s = base.scored(spark, d).select("ID", "source", "loss", "we", "ce")

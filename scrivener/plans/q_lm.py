@@ -70,14 +70,14 @@ def l_perplexity(spark, d):
 
 
 @R.add(W(sql.LAB, "ch as (select distinct unnest(string_split(label, '')) as c from lab where label <> '')", "cs as (select c, row_number() over (order by c) as code from ch)",
-         "x as (select ID, unnest(string_split(label, '')) as c, generate_subscripts(string_split(label, ''), 1) as i from lab where label <> '')") + "select ID, list(code order by i) as codes from x join cs using (c) group by 1")
+         "x as (select ID, unnest(string_split(label, '')) as c, generate_subscripts(string_split(label, ''), 1) as i from lab where label <> '')") + "select ID, string_agg(cast(code as varchar), ' ' order by i) as codes from x join cs using (c) group by 1")
 def l_charset_codes(spark, d):
     """Labels as places in the ordered character set; the set comes in by a join."""
     ch = base.labels(spark, d).select("ID", F.posexplode(F.split("label", "")).alias("i", "c")).where("c <> ''")
     from pyspark.sql import Window
 
     cs = ch.select("c").distinct().withColumn("code", F.row_number().over(Window.orderBy("c")))
-    return ch.join(cs, "c").groupBy("ID").agg(F.array_sort(F.collect_list(F.struct("i", "code")))["code"].alias("codes"))
+    return ch.join(cs, "c").groupBy("ID").agg(F.array_join(F.array_sort(F.collect_list(F.struct("i", "code")))["code"].cast("array<string>"), " ").alias("codes"))
 
 
 def lattices(spark, d):

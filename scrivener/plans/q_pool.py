@@ -19,10 +19,10 @@ W = sql.with_
 r6 = lambda c, n: F.round(c, 6).alias(n)
 
 
-@R.add(W(sql.POOL) + "select ID, cand_id, text, n_sources, n_greedy, best_rank, round(gen_mean, 6) as gen_mean, methods from pool")
+@R.add(W(sql.POOL) + "select ID, cand_id, text, n_sources, cast(n_greedy as bigint) as n_greedy, best_rank, round(gen_mean, 6) as gen_mean, array_to_string(methods, ' ') as methods from pool")
 def r_pool(spark, d):
     """Pool of readings per line."""
-    return base.pool(spark, d).select("ID", "cand_id", "text", "n_sources", "n_greedy", "best_rank", r6(F.col("gen_mean"), "gen_mean"), "methods")
+    return base.pool(spark, d).select("ID", "cand_id", "text", "n_sources", "n_greedy", "best_rank", r6(F.col("gen_mean"), "gen_mean"), F.array_join("methods", " ").alias("methods"))
 
 
 @R.add(W(sql.POOL) + "select pool.cand_id, ps.source, ps.rank, ps.greedy, round(ps.gen_mean, 6) as gen_mean from pool join ps on ps.ID = pool.ID and ps.text = pool.text")

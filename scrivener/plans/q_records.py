@@ -74,11 +74,11 @@ def x_note_tags(spark, d):
     return table(spark, d, "verdict_log").select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@R.add(f"select log_no, list_sort(list_distinct(regexp_extract_all(entry, '[^{ALLOWED}|=]'))) as odd from verdict_log where regexp_matches(entry, '[^{ALLOWED}|=]')".replace("'\"()|=]", "''\"()|=]"))
+@R.add(f"select log_no, array_to_string(list_sort(list_distinct(regexp_extract_all(entry, '[^{ALLOWED}|=]'))), ' ') as odd from verdict_log where regexp_matches(entry, '[^{ALLOWED}|=]')".replace("'\"()|=]", "''\"()|=]"))
 def x_odd_characters(spark, d):
     """Characters outside the collection's set."""
     odd = F.array_sort(F.array_distinct(F.regexp_extract_all("entry", F.lit(f"[^{ALLOWED}|=]"), F.lit(0))))
-    return table(spark, d, "verdict_log").select("log_no", odd.alias("odd")).where("size(odd) > 0")
+    return table(spark, d, "verdict_log").select("log_no", F.array_join(odd, " ").alias("odd")).where("odd <> ''")
 
 
 _REPLY = "regexp_replace(regexp_replace(raw, '^\\s*```[a-zA-Z0-9_-]*\\s*\\n', ''), '\\n\\s*```\\s*$', '')"

@@ -183,13 +183,13 @@ def u_set_counts(spark, d):
     return count(a.intersect(b), "both").unionByName(count(a.subtract(b), "train only")).unionByName(count(a.union(b).distinct(), "any"))
 
 
-@R.add("with p as (select ID, max(case when source = 'vlm:a7' then text end) as a, max(case when source = 'ctc' then text end) as b, max(case when source = 'ext:glyph' then text end) as c from candidate where rank = 0 and ID is not null group by ID) select ID, coalesce(nullif(a, ''), nullif(b, ''), nullif(c, ''), '') as reading, list_sort(list_distinct(list_filter([a, b, c], lambda x: x is not null))) as texts from p")
+@R.add("with p as (select ID, max(case when source = 'vlm:a7' then text end) as a, max(case when source = 'ctc' then text end) as b, max(case when source = 'ext:glyph' then text end) as c from candidate where rank = 0 and ID is not null group by ID) select ID, coalesce(nullif(a, ''), nullif(b, ''), nullif(c, ''), '') as reading, array_to_string(list_sort(list_distinct(list_filter([a, b, c], lambda x: x is not null))), ' / ') as texts from p")
 def u_fallback_chain(spark, d):
     """First reading that is not empty, in a fixed order of sources, and the distinct ones in that order."""
     pick = lambda s, n: F.max(F.when(F.col("source") == s, F.col("text"))).alias(n)
     p = table(spark, d, "candidate").where("rank = 0 and ID is not null").groupBy("ID").agg(pick("vlm:a7", "a"), pick("ctc", "b"), pick("ext:glyph", "c"))
     full = [F.nullif(F.col(c), F.lit("")) for c in "abc"]
-    return p.select("ID", F.coalesce(*full, F.lit("")).alias("reading"), F.array_sort(F.array_distinct(F.array_compact(F.array("a", "b", "c")))).alias("texts"))
+    return p.select("ID", F.coalesce(*full, F.lit("")).alias("reading"), F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array("a", "b", "c")))), " / ").alias("texts"))
 
 
 @R.add("select img_no, cast(row_number() over (order by abs(contrast - 80) desc, img_no) as int) as place from image_features where not isnan(contrast) order by place limit 50")
@@ -325,13 +325,13 @@ def n_geometry(spark, d):
     return i.withColumn("tokens", F.expr("(h28 div 14) * (w28 div 14) div 4"))
 
 
-@R.add(W(sql.IMG) + "select ID, list_transform(range(0, 3), lambda k: [greatest(0, cast(floor(k * (width::double / 3)) as int) - cast(floor(width::double / 3 * 0.1 / 2) as int)), least(width, cast(floor((k + 1) * (width::double / 3)) as int) + cast(floor(width::double / 3 * 0.1 / 2) as int))]) as parts from img")
+@R.add(W(sql.IMG) + "select ID, array_to_string(list_transform(range(0, 3), lambda k: concat(greatest(0, cast(floor(k * (width::double / 3)) as int) - cast(floor(width::double / 3 * 0.1 / 2) as int)), '-', least(width, cast(floor((k + 1) * (width::double / 3)) as int) + cast(floor(width::double / 3 * 0.1 / 2) as int)))), ' ') as parts from img")
 def n_split_parts(spark, d):
     """Bounds of three overlapping parts of an image."""
     step = F.col("width") / 3
     pad = F.floor(step * 0.1 / 2).cast("int")
-    part = lambda k: F.array(F.greatest(F.lit(0), F.floor(k * step).cast("int") - pad), F.least(F.col("width"), F.floor((k + 1) * step).cast("int") + pad))
-    return base.images(spark, d).select("ID", F.transform(F.sequence(F.lit(0), F.lit(2)), part).alias("parts"))
+    part = lambda k: F.concat(F.greatest(F.lit(0), F.floor(k * step).cast("int") - pad), F.lit("-"), F.least(F.col("width"), F.floor((k + 1) * step).cast("int") + pad))
+    return base.images(spark, d).select("ID", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2)), part), " ").alias("parts"))
 
 
 @R.add(W(sql.IMG) + "select i.ID, rank() over (partition by tall order by ink_frac desc) as ink_rank from img i where not isnan(ink_frac)")

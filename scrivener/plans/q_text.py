@@ -89,7 +89,7 @@ def x_word_stats(spark, d):
 
 
 @R.add(W(sql.LAB, f"c as (select c.ID, lower(regexp_replace({sql.norm('corrected')}, '[^A-Za-z0-9 ]', '', 'g')) as a, lower(regexp_replace({sql.norm('Target')}, '[^A-Za-z0-9 ]', '', 'g')) as b, char_edits from label_corrections c)") +
-       "select a = b as same_without_marks, count(*) as n, sum(char_edits) as edits from c group by 1")
+       "select a = b as same_without_marks, count(*) as n, cast(sum(char_edits) as bigint) as edits from c group by 1")
 def x_without_marks(spark, d):
     """Corrections that change nothing but marks and case."""
     plain = lambda c: F.lower(F.regexp_replace(norm(F.col(c)), "[^A-Za-z0-9 ]", ""))
@@ -153,7 +153,7 @@ def g_words_top(spark, d):
 
 
 @R.add(W(sql.LAB, sql.TOK, "c as (select w, count(*) as n from tok group by w)") +
-       "select sum(n) as tokens, count(*) as types, count(*) filter (n = 1) as hapax, round(count(*) filter (n = 1) / sum(n), 6) as hapax_share from c")
+       "select cast(sum(n) as bigint) as tokens, count(*) as types, count(*) filter (n = 1) as hapax, round(count(*) filter (n = 1) / sum(n), 6) as hapax_share from c")
 def g_hapax(spark, d):
     c = base.tokens(spark, d).groupBy("w").agg(F.count("*").alias("n"))
     one = F.count_if(F.col("n") == 1)
@@ -217,7 +217,7 @@ def g_characters(spark, d):
 
 
 @R.add(W(sql.LAB, sql.TOK, "f as (select lower(w) as low, w, count(*) as n from tok group by 1, 2)",
-         "s as (select low, count(*) as forms, sum(n) as n from f group by 1)", "m as (select low, w from (select *, row_number() over (partition by low order by n desc, w) as r from f) where r = 1)") +
+         "s as (select low, count(*) as forms, cast(sum(n) as bigint) as n from f group by 1)", "m as (select low, w from (select *, row_number() over (partition by low order by n desc, w) as r from f) where r = 1)") +
        "select s.low, forms, n, m.w as most from s join m using (low) where forms > 1 and n >= 10")
 def g_casing(spark, d):
     """Words written in several ways of casing, ten times or more, with the most frequent form."""
@@ -237,7 +237,7 @@ MARKUP = {
 
 @R.add(W(sql.LAB, "m as (" + " union all ".join(f"select '{n}' as mark, ID, label, len(regexp_extract_all(label, {sql._q(p)})) as k from lab" for n, p in MARKUP.items()) + ")",
          "e as (select mark, list(label order by ID)[1:3] as examples from m where k > 0 group by 1)") +
-       "select m.mark, count(*) filter (k > 0) as lines, sum(k) as occurrences, coalesce(max(examples), []) as examples from m left join e using (mark) group by 1")
+       "select m.mark, count(*) filter (k > 0) as lines, cast(sum(k) as bigint) as occurrences, coalesce(array_to_string(max(examples), ' / '), '') as examples from m left join e using (mark) group by 1")
 def g_markup(spark, d):
     """Per mark: labels with it, occurrences, and the three first labels by ID. One pass over the labels; only three rows per mark are kept."""
     counts = F.array(*[F.struct(F.lit(n).alias("mark"), F.regexp_count("label", F.lit(p)).alias("k")) for n, p in MARKUP.items()])
@@ -246,7 +246,7 @@ def g_markup(spark, d):
         F.transform(F.array_sort(F.collect_list(F.struct("ID", "label"))), lambda s: s["label"]).alias("examples")
     )
     g = m.groupBy("mark").agg(F.count_if(F.col("k") > 0).alias("lines"), F.sum("k").alias("occurrences"))
-    return g.join(first, "mark", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
+    return g.join(first, "mark", "left").withColumn("examples", F.coalesce(F.array_join("examples", " / "), F.lit("")))
 
 
 @R.add(W(sql.LAB) + "select count(*) as n, count(distinct label) as distinct_labels, count(*) filter (k > 1) as repeated from (select label, count(*) over (partition by label) as k from lab)")
