@@ -31,19 +31,25 @@ def field_list(c: Column) -> Column:
 def reply_form(c: Column) -> Column:
     """Canonical form of a raw reply: named fields (a JSON object, or `Key: Value` lines, perhaps in code fences) as sorted name and
     value pairs in bare form, anything else as its bare form. A broken object counts as plain text."""
-    inner = F.trim(F.regexp_replace(F.trim(F.regexp_replace(c, r"^\s*```(?:[A-Za-z0-9_]*[ \t]*\r?\n)?\s*|\s*```\s*$", "")), r"^\s+|\s+$", ""))
-    entries = F.map_entries(F.from_json(F.regexp_replace(inner, r",\s*\}\s*$", "}"), "map<string,string>", {"allowUnescapedControlChars": "true"}))
+    inside = F.trim(F.regexp_replace(F.trim(F.regexp_replace(c, r"^\s*```(?:[A-Za-z0-9_]*[ \t]*\r?\n)?\s*|\s*```\s*$", "")), r"^\s+|\s+$", ""))
     line = r"^\s*([\p{L}\p{N}_][^:]{0,39}?)\s*:"
-    lines = F.filter(F.split(inner, r"\r\n|\r|\n"), lambda x: ~x.rlike(r"^\s*$"))
-    head = F.lower(F.regexp_extract(F.element_at(lines, 1), line, 1))
-    records = F.forall(lines, lambda x: x.rlike(line)) & ((F.size(lines) > 1) | ((F.size(lines) == 1) & head.isin(*REPLY_FIELDS)))
     pair = lambda k, v: F.concat(bare(k), F.lit("\u0003"), F.coalesce(bare(v), F.lit("")))
     join = lambda a: F.concat(F.lit("\u0004"), F.array_join(F.array_sort(a), "\u0002"))
-    return (
-        F.when(inner.startswith("{") & entries.isNotNull(), join(F.transform(entries, lambda e: pair(e["key"], e["value"]))))
-        .when(records, join(F.transform(lines, lambda x: pair(F.regexp_extract(x, line, 1), F.regexp_replace(x, line, "")))))
-        .otherwise(bare(inner))
-    )
+    bind = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  so that a value used more than once is made once
+
+    def named(x):
+        parsed = F.map_entries(F.from_json(F.regexp_replace(x, r",\s*\}\s*$", "}"), "map<string,string>", {"allowUnescapedControlChars": "true"}))
+        return bind(parsed, lambda entries: F.when(entries.isNull(), bare(x)).otherwise(join(F.transform(entries, lambda e: pair(e["key"], e["value"])))))
+
+    def plain(x):
+        def of(lines):
+            head = F.lower(F.regexp_extract(F.element_at(lines, 1), line, 1))
+            records = ((F.size(lines) > 1) | ((F.size(lines) == 1) & head.isin(*REPLY_FIELDS))) & F.forall(lines, lambda x: x.rlike(line))
+            return F.when(records, join(F.transform(lines, lambda x: pair(F.regexp_extract(x, line, 1), F.regexp_replace(x, line, ""))))).otherwise(bare(x))
+
+        return bind(F.filter(F.split(x, r"\r\n|\r|\n"), lambda y: ~y.rlike(r"^\s*$")), of)
+
+    return bind(inside, lambda x: F.when(x.startswith("{"), named(x)).when(x.contains(":"), plain(x)).otherwise(bare(x)))
 
 
 def value_classes(rows: DataFrame, no: str, column: str) -> DataFrame:
