@@ -41,8 +41,11 @@ def kneser_ney(texts: DataFrame, order: int) -> DataFrame:
 
 
 def _chain(positions_: DataFrame, model: DataFrame, order: int, mix) -> DataFrame:
-    """Probability of each position from the lowest order up: for every order one join on (h, c) for the count and one on h for its totals."""
-    t = positions_
+    """Probability of each position from the lowest order up: for every order one join on (h, c) for the count and one on h for its totals.
+
+    That is done once per distinct (h, c); one more join brings the results to the positions.
+    """
+    t = positions_.select("h", "c", "p0").distinct()
     p: Column = F.col("p0")
     for k in range(1, order + 1):
         m = model.where(F.col("k") == k)
@@ -52,9 +55,9 @@ def _chain(positions_: DataFrame, model: DataFrame, order: int, mix) -> DataFram
         t = t.withColumn("hk", h)
         t = t.join(own, (F.col("hk") == F.col(f"h{k}")) & (F.col("c") == F.col(f"c{k}")), "left").join(ctx, F.col("hk") == F.col(f"g{k}"), "left")
         p = mix(p, F.coalesce(f"n{k}", F.lit(0)), F.col(f"t{k}"), F.col(f"y{k}"))
-        t = t.withColumn(f"p{k}", p).select(*positions_.columns, f"p{k}")
+        t = t.withColumn(f"p{k}", p).select("h", "c", f"p{k}")
         p = F.col(f"p{k}")
-    return t.withColumn("lp", F.log(p)).drop(f"p{order}")
+    return positions_.join(t.select("h", "c", F.log(p).alias("lp")), ["h", "c"])
 
 
 def kneser_ney_scores(texts: DataFrame, model: DataFrame, order: int, discount: float = 0.75) -> DataFrame:
