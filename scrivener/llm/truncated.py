@@ -108,20 +108,21 @@ def fit(rows: list[tuple[list[int], int]]) -> np.ndarray:
     return w
 
 
-def lines_under(docs: DataFrame) -> tuple[DataFrame, list[str], int]:
+def lines_under(docs: DataFrame) -> tuple[DataFrame, list[str], DataFrame, int]:
     """(source, under): lines that stand under a good part of a source's texts, three at most; and those under a part of all texts, 200 at
-    most, by the shares above; and the number of texts."""
+    most, by the shares above; (source) of all sources; and the number of texts. Copies of a text count as one, in a source and in all."""
     last = F.trim(F.element_at(F.split(F.expr("trim(trailing ' \t\r\n' from text)"), "\n"), -1))
-    ends = docs.select("source", last.alias("line")).where("line != '' and length(line) <= 200").groupBy("source", "line").agg(F.count("*").alias("n"))
-    ends = checkpoint(ends)
-    sizes = checkpoint(docs.groupBy(F.col("source").alias("of_source")).agg(F.count("*").alias("of")))
+    texts = checkpoint(docs.select("source", F.xxhash64("text").alias("text"), F.when(F.length(last) <= 200, last).otherwise("").alias("line")).distinct())
+    ends = texts.where("line != ''").groupBy("source", "line").agg(F.count("*").alias("n"))
+    sizes = checkpoint(texts.groupBy(F.col("source").alias("of_source")).agg(F.count("*").alias("of")))
     per_source = checkpoint(
         ends.where(f"n >= {LEAST}").join(sizes, F.col("source").eqNullSafe(F.col("of_source"))).where(F.col("n") >= F.col("of") * SOURCE_SHARE)
         .groupBy("source").agg(F.collect_set("line").alias("under"))
     )
-    n = sizes.agg(F.sum("of")).first()[0] or 0
-    common = ends.groupBy("line").agg(F.sum("n").alias("n")).where(f"n >= {max(LEAST, n * CORPUS_SHARE)}")
-    return per_source, [r[0] for r in common.select("line").collect()], n
+    every = texts.select("text", "line").distinct()
+    n = every.count()
+    common = every.where("line != ''").groupBy("line").agg(F.count("*").alias("n")).where(f"n >= {max(LEAST, n * CORPUS_SHARE)}")
+    return per_source, [r[0] for r in common.select("line").collect()], sizes.select(F.col("of_source").alias("source")), n
 
 
 def _words(common: list[str]):
@@ -147,8 +148,8 @@ def _words(common: list[str]):
 
 
 def abbreviations(docs: DataFrame, common: list[str]) -> DataFrame:
-    """(word): words of at most 8 letters whose full stop does not end a sentence, by counts over all texts: they hardly ever end a text,
-    though they are frequent, and hardly ever stand without the stop."""
+    """(word): words of at most 8 letters whose full stop does not end a sentence, by counts over the texts, which are distinct: they hardly
+    ever end a text, though they are frequent, and hardly ever stand without the stop."""
     counts = docs.select("text", "under").mapInArrow(_words(common), "word string, dotted long, plain long, ends long")
     counts = counts.where("length(word) <= 8").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("dotted", "plain", "ends")])
     return counts.where(
@@ -207,22 +208,28 @@ def _sums(common: list[str], weights):
 def cut_scores(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
     """(doc_id, source, score) of every text that is not blank: how likely it was cut before its end.
 
-    Lines that a source puts under its texts, and abbreviations, are found by counts over all texts; closing lines and entries by their
-    form. A hashed logistic regression on closing characters, punctuation, cut marks and length to limit tells intact endings from endings
-    of the same texts cut by chance; it is fitted on about sample_texts texts (the bound of what comes to the driver), and every text is
+    Lines that a source puts under its texts, and abbreviations, are found by counts over all distinct texts; closing lines and entries by
+    their form. A hashed logistic regression on closing characters, punctuation, cut marks and length to limit tells intact endings from endings
+    of the same texts cut by chance; it is fitted on about sample_texts distinct texts (the bound of what comes to the driver), and every text is
     scored. Null, empty and blank texts have no row; null n_chars and sources are allowed.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
     docs = docs.where(F.col("text").rlike(r"(?U)\S"))
-    per_source, common, n = lines_under(docs)
+    per_source, common, sources, n = lines_under(docs)
     per_source = per_source.withColumnRenamed("source", "source_")
     lengths = docs.groupBy("source", F.length("text").alias("size")).agg(F.countDistinct(F.xxhash64("text")).alias("n"))
     limits = checkpoint(lengths.where(f"n >= {LEAST}").select(F.col("source").alias("source_"), "size", F.lit(True).alias("limited")))
-    docs = docs.join(per_source, docs["source"].eqNullSafe(per_source["source_"]), "left").drop("source_")
-    docs = docs.join(limits, docs["source"].eqNullSafe(limits["source_"]) & (F.length("text") == F.col("size")), "left").drop("source_", "size")
-    words = checkpoint(abbreviations(docs, common))
-    sample = docs if n <= sample_texts else docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * sample_texts / n))
+
+    def placed(t):
+        t = t.join(per_source, t["source"].eqNullSafe(per_source["source_"]), "left").drop("source_")
+        return t.join(limits, t["source"].eqNullSafe(limits["source_"]) & (F.length("text") == F.col("size")), "left").drop("source_", "size")
+
+    once = docs.groupBy("text").agg(F.min(F.xxhash64("source")).alias("of"), F.min("n_chars").alias("n_chars"))  # of many sources one
+    once = placed(once.join(sources.withColumn("of", F.xxhash64("source")), "of").drop("of"))
+    docs = placed(docs)
+    words = checkpoint(abbreviations(once, common))
+    sample = once if n <= sample_texts else once.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample_texts / n))
     known = F.array_sort(F.slice(F.collect_set("word"), 1, 1000)).alias("known")
     short = words.orderBy("word").limit(1000).agg(known).first()[0]
     examples = sample.select("text", "under", "limited", "n_chars", F.array(*[F.lit(w) for w in short]).cast("array<string>").alias("known")).mapInArrow(_examples(common), "at array<int>, label int")

@@ -279,6 +279,21 @@ def test_truncated(spark):
     assert rows(truncated.cut_scores(t.limit(0))) == []
 
 
+def test_truncated_counts_copies_of_a_text_once(spark):
+    draw = random.Random(9)
+    noun = lambda: draw.choice(["mill", "pasture", "gully", "wharf", "house"])
+    line = lambda: draw.choice([f"{noun().title()} Brown Esq. sold the {noun()} no. {draw.randrange(9999)}.", f"It was agreed that the {noun()} be kept, as {draw.randrange(9999)} shillings were paid!"])
+    docs = []
+    for i in range(600):
+        text = " ".join(line() for _ in range(draw.randrange(1, 9)))
+        docs.append((i, text[: draw.randrange(5, len(text))] if i % 12 == 0 else text, "ab"[i % 2], None))
+    cut, whole, short = "They met at the mill.\nThe clerk then read the acc", "They met at the mill and\nthe clerk read the account.", "The house was sold by John Brown Esq."
+    docs += [(1000 + i, (cut, whole, short)[i % 3], "ab"[i % 2], None) for i in range(450)]
+    t = spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").repartition(3)
+    got = {r[0]: r[2] >= 0.5 for r in truncated.cut_scores(t).collect()}
+    assert [sum(got[1000 + i] for i in range(k, 450, 3)) for k in range(3)] == [150, 0, 150]
+
+
 @pytest.mark.parametrize("name", sorted(oracles.SQL))
 def test_sql(spark, name):
     folder = Path("/root/testdata/sf0.001")
