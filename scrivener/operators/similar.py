@@ -124,6 +124,31 @@ def alike_pairs(texts: DataFrame, percent: int) -> DataFrame:
     return pairs.where(near).withColumn("ratio", indel_ratio("a", "b")).where(F.col("ratio") >= percent / 100 - 1e-12)
 
 
+def nearest_edits(queries: DataFrame, texts: DataFrame) -> DataFrame:
+    """(text, bound) against (text) -> (text, bound, best): the smallest edit distance to any of the texts, where it is at most bound.
+
+    Exact. k edits spoil at most k of a query's disjoint chunks, so of k + 1 one stands whole in the text, at most k characters off; chunks of
+    8 characters, or of 4 where the bound asks for it. Bounds too wide for chunks of 4 are first narrowed to what these allow; only queries
+    with nothing so near are held against all texts. Which chunks are taken (rare ones, by a sample of the texts) changes speed only.
+    """
+    q = queries.select("text", F.col("bound").cast("int").alias("bound")).where("bound >= 0").distinct().withColumn("len", F.length("text"))
+    q = checkpoint(q.withColumn("k", F.expr("least(bound, len div 4 - 1)")).withColumn("q", F.expr("if(len >= 8 * (k + 1), 8, 4)")))
+    t = checkpoint(texts.select(F.col("text").alias("other")).where("other is not null").distinct())
+    grams = F.expr("flatten(transform(filter(array(4, 8), q -> q <= length(other)), q -> transform(sequence(0, length(other) - q), i -> struct(xxhash64(substring(other, i + 1, q)) as g, i as at))))")
+    every = t.select(F.xxhash64("other").alias("of"), F.length("other").alias("size"), F.inline(grams))
+    often = t.where("pmod(xxhash64(other), 16) = 0").select(F.inline(grams)).groupBy("g").agg(F.count("*").alias("f"))
+    chunks = F.expr("transform(sequence(0, len div q - 1), i -> struct(xxhash64(substring(text, i * q + 1, q)) as g, i * q as at))")
+    own = q.where("k >= 0").select("text", "bound", "len", "k", F.inline(chunks)).withColumnRenamed("at", "pa").join(often, "g", "left")
+    w = Window.partitionBy("text", "bound").orderBy(F.coalesce("f", F.lit(0)), "g", "pa")
+    keys = own.withColumn("r", F.row_number().over(w)).where("r <= k + 1").select("text", "bound", "len", "k", "g", "pa")
+    pairs = keys.join(every, "g").where("abs(len - size) <= k and abs(pa - at) <= k").select("text", "bound", "k", "of").distinct()
+    pairs = pairs.join(t.withColumn("of", F.xxhash64("other")), "of").withColumn("best", F.expr("levenshtein(text, other, k)")).where("best >= 0")
+    near = checkpoint(pairs.groupBy("text", "bound").agg(F.min("best").alias("best")))
+    rest = q.where("k < bound").join(near, ["text", "bound"], "left_anti").select("text", "bound")
+    scan = rest.crossJoin(t).where("abs(length(text) - length(other)) <= bound").withColumn("best", F.expr("levenshtein(text, other, bound)")).where("best >= 0")
+    return near.unionByName(scan.groupBy("text", "bound").agg(F.min("best").alias("best")))
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", block: int = 4096) -> DataFrame:
     """(id, v) of queries against (id, v) of vectors -> (id, other, place, value): the k nearest others, exactly, ties by id.
 

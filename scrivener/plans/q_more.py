@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.text import words
 from ..operators.relations import draw
 from ..operators.select import both_ways, line_pairs, mbr
+from ..operators.similar import nearest_edits
 from ..operators.windows import softmax_within, z_within
+from ..session import checkpoint
 from . import base, sql
 from .q_pool import _POSTERIOR, _PT
 from .registry import Registry
@@ -185,6 +187,18 @@ def j_swap_screen(spark, d):
     return own.join(oth, "ID").where("best < own")
 
 
+@R.add(W(sql.LAB, f"h as (select ID, arg_min({sql.clean('text')}, cand_no) as hyp from candidate where ID is not null and text is not null and rank = 0 and source = 'ctc' group by 1)", f"ref as (select ID, {sql.clean('Target')} as ref from lab)",
+         "own as (select h.ID, h.hyp, levenshtein(h.hyp, ref) as own from h join ref using (ID))", "oth as (select own.ID, min(levenshtein(own.hyp, ref.ref)) as best from own join ref on ref.ID <> own.ID group by 1)") + "select own.ID, own, best from own join oth using (ID) where best < own")
+def j_swap_all(spark, d):
+    """Lines whose reading is nearer to another line's label than to its own, over all other labels. A label nearer than the line's own differs from it, so it is another line's."""
+    from ..functions.clean import clean
+
+    h = base.candidates(spark, d).where("rank = 0 and source = 'ctc'").groupBy("ID").agg(F.min_by(clean(F.col("text")), "cand_no").alias("text"))
+    ref = base.labels(spark, d).select("ID", clean(F.col("Target")).alias("ref"))
+    own = checkpoint(h.join(ref, "ID").select("ID", "text", F.levenshtein("text", "ref").alias("own")).withColumn("bound", F.col("own") - 1))
+    return own.join(nearest_edits(own, ref.select(F.col("ref").alias("text"))), ["text", "bound"]).select("ID", "own", "best")
+
+
 @R.add(W(sql.POOL, _PT, f"pr as (select a.ID, a.cand_id as a, b.cand_id as b, {sql.loss(sql.wdist(sql.split('a.hyp'), sql.split('b.hyp')), 'levenshtein(a.hyp, b.hyp)')} as l from pt a join pt b on a.ID = b.ID and a.cand_id <> b.cand_id)", "nn as (select a as cand_id, b as nearest, round(l, 6) as loss, row_number() over (partition by a order by round(l, 9), b) as r from pr)") + "select cand_id, nearest, loss from nn where r = 1")
 def r_nearest_reading(spark, d):
     """Nearest other reading of each pool entry."""

@@ -109,3 +109,33 @@ def test_numbered_is_a_permutation(spark):
     t = spark.range(500).select(F.col("id").cast("string").alias("ID"))
     assert sorted(r["at"] for r in evaluate.numbered(t, ["ID"], "ID").collect()) == list(range(500))
     assert rows(evaluate.numbered_dense(spark.createDataFrame([(70_000,), (3,), (3,), (9,)], "k long"), "k").select("k", "place")) == [(3, 0), (3, 0), (9, 1), (70_000, 2)]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_nearest_edits(spark):
+    draw = random.Random(12)
+    words = ["mill", "pasture", "gully", "the", "of", "land", "house", "sold"]  # each word is seen often, so none is rare
+    texts = list({" ".join(draw.choice(words) for _ in range(draw.randrange(1, 9))) for _ in range(150)})
+    asked = [(changed(draw, draw.choice(texts), draw.randrange(9)), draw.choice([-1, 0, 1, 3, 8, 30, 70])) for _ in range(150)]
+    asked += [("", 3), ("", 70), ("zz", 1), ("q" * 60, 59), ("q" * 60, 80), (texts[0], 0)]
+    got = similar.nearest_edits(spark.createDataFrame(asked, "text string, bound int"), spark.createDataFrame([(t,) for t in texts + [None]], "text string"))
+    want = {(q, k, best) for q, k in asked if (best := min(edits(q, t) for t in texts)) <= k}
+    assert rows(got) == sorted(want) and len(want) > 50
+
+
+def test_swap_screen_holds_readings_against_all_labels(spark):
+    import oracle
+    from scrivener.plans.catalog import REGISTRY
+
+    d = "/root/testdata/sf0.01"
+    con = oracle.duck(oracle.Path(d))
+    assert oracle.difference(REGISTRY.queries["j_swap_all"](spark, d), con, REGISTRY.sql["j_swap_all"]) == ""
+    assert REGISTRY.queries["j_swap_all"](spark, d).count() == 8
