@@ -51,6 +51,20 @@ def l_scores(spark, d):
     return s.select(F.col("id").alias("cand_no"), r6(F.col("lm_lp"), "lm_lp"), r6(F.col("lm_lp_pc"), "lm_lp_pc"), r6(F.col("lm_min"), "lm_min"), "lm_oov")
 
 
+_ALL = ("every as (select cand_no, " + sql.norm("text") + " as t from candidate where text is not null)", "tx as (select min(cand_no) as id, t from every group by t)", *_SCORE[1:],
+        f"sc as (select id, sum(ln(p{ORDER})) as lp, avg(ln(p{ORDER})) as pc, min(ln(p{ORDER})) as least_, count(*) filter (c not in (select c from k1) and c <> chr(3)) as oov from s{ORDER} group by id)")
+
+
+@R.add(W(sql.LAB, sql.FOLD, _AT, *_KN, *_ALL) + "select e.cand_no, round(lp, 6) as lm_lp, round(pc, 6) as lm_lp_pc, round(least_, 6) as lm_min, oov as lm_oov from every e join tx on tx.t = e.t join sc on sc.id = tx.id")
+def l_scores_all(spark, d):
+    """The same of all readings, whatever their rank; each distinct text is scored once."""
+    every = table(spark, d, "candidate").where("text is not null").select("cand_no", norm(F.col("text")).alias("text"))
+    texts = every.groupBy("text").agg(F.min("cand_no").alias("id"))
+    s = L.kneser_ney_scores(texts, L.kneser_ney(_train(spark, d), ORDER), ORDER)
+    s = s.join(texts, "id").select("text", r6(F.col("lm_lp"), "lm_lp"), r6(F.col("lm_lp_pc"), "lm_lp_pc"), r6(F.col("lm_min"), "lm_min"), "lm_oov")
+    return every.join(s, "text").drop("text")
+
+
 _WB = (
     "wn as (select k, right(h, k - 1) as h, c, count(*) as n from hist, range(1, " + str(ORDER + 1) + ") r(k) group by 1, 2, 3)", "wt as (select k, h, sum(n) as total, count(*) as types from wn group by 1, 2)",
     "tx as (select ID as id, label as t from lab join fld using (ID) where fold = 0)",

@@ -95,3 +95,15 @@ def test_partitions_do_not_matter(spark):
         results.append(rows(mbr(t.repartition(n).select("ID", "hyp", "p")).select("ID", "hyp", F.round("risk", 9))))
     spark.conf.set("spark.sql.shuffle.partitions", 8)
     assert results[0] == results[1] == results[2]
+
+
+def test_all_readings_are_scored(spark):
+    from scrivener.plans.catalog import REGISTRY
+
+    d = "/root/testdata/sf0.001"
+    every = spark.read.parquet(f"{d}/candidate.parquet").where("text is not null").select("cand_no")
+    got = REGISTRY.queries["l_scores_all"](spark, d)
+    assert sorted(got.select("cand_no").collect()) == sorted(every.collect())
+    first = REGISTRY.queries["l_scores"](spark, d)
+    assert first.exceptAll(got.select(first.columns)).count() == 0
+    assert got.count() > first.count()
