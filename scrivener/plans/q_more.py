@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..operators.evaluate import bootstrap, numbered
 from ..operators.relations import draw
 from ..operators.select import both_ways, line_pairs, mbr
 from ..operators.similar import nearest_edits
@@ -133,6 +134,49 @@ def r_routing(spark, d):
     return g.select("tall", "n", r6(F.col("gain"), "gain"), r6(F.col("shrunk"), "shrunk"), ((F.col("shrunk") > 0) & (F.col("share") * F.col("gain") >= 0.002)).alias("routed"))
 
 
+_REPEATS, _HALVES = 200, 30
+_RULE = ("dl as (select i.tall, a.ID, a.loss - b.loss as delta from scored a join scored b on a.ID = b.ID join img i on i.ID = a.ID where a.source = 'ctc' and b.source = 'vlm:b3')",
+         "ix as (select tall, delta, row_number() over (partition by tall order by " + _DRAW.format("'n' || ID") + ", ID) - 1 as at, count(*) over (partition by tall) as n from dl)", "nn as (select distinct tall, n from ix)",
+         f"dr as (select tall, i // n as repeat, {_DRAW.format("'boot' || i")} % n as at from (select tall, n, unnest(range(0, {_REPEATS} * n)) as i from nn))",
+         "bt as (select dr.tall, repeat, avg(delta) as mean from dr join ix on ix.tall is not distinct from dr.tall and ix.at = dr.at group by 1, 2)", "pb as (select tall, avg(case when mean > 1e-12 then 1.0::double else 0 end) as p_better from bt group by 1)",
+         f"hv as (select tall, r, avg(delta) filter (half = 0) as a, avg(delta) filter (half = 1) as b from (select tall, r, delta, {_DRAW.format("'half' || r || ':' || ID")} % 2 as half from dl, range({_HALVES}) t(r)) group by 1, 2)",
+         f"sg as (select tall, count(*) filter (sign(round(a, 9)) = sign(round(b, 9)) and round(a, 9) <> 0) / {_HALVES}::double as same_sign from hv group by 1)",
+         "g as (select tall, avg(delta) as gain, var_samp(delta) / count(*) as v, count(*) as n from dl group by 1)", "t as (select avg(gain) as m, coalesce(var_samp(gain), 0) as between_, sum(n) as total from g)",
+         "s as (select g.*, m + (gain - m) * case when between_ + v > 0 then between_ / (between_ + v) else 0 end as shrunk, n::double / total as share from g, t)")
+
+
+@R.add(W(*S, sql.IMG, *_RULE) + "select s.tall, n, round(gain, 6) as gain, round(shrunk, 6) as shrunk, round(p_better, 6) as p_better, round(same_sign, 6) as same_sign, coalesce(p_better >= 0.9 and shrunk > 0 and same_sign > 0.5 and share * gain >= 0.002, false) as routed from s left join pb on pb.tall is not distinct from s.tall left join sg on sg.tall is not distinct from s.tall")
+def r_routing_rule(spark, d):
+    """The whole rule by which a class goes to its specialist: paired bootstrap, shrunk gain, the same sign in both halves of most random halves, and gain large enough for its share."""
+    s = base.scored(spark, d).select("ID", "source", "loss")
+    t = s.where("source = 'ctc'").select("ID", F.col("loss").alias("a")).join(s.where("source = 'vlm:b3'").select("ID", F.col("loss").alias("b")), "ID").join(base.images(spark, d).select("ID", "tall"), "ID")
+    return routing_rule(t.select("ID", "tall", (F.col("a") - F.col("b")).alias("delta")))
+
+
+def routing_rule(deltas):
+    """(ID, tall, delta), delta being what the specialist saves on a line -> (tall, n, gain, shrunk, p_better, same_sign, routed)."""
+    deltas = checkpoint(deltas)
+    g = deltas.groupBy("tall").agg(F.avg("delta").alias("gain"), (F.var_samp("delta") / F.count("*")).alias("v"), F.count("*").alias("n"))
+    every = Window.partitionBy()
+    m, between, total = F.avg("gain").over(every), F.coalesce(F.var_samp("gain").over(every), F.lit(0.0)), F.sum("n").over(every)
+    g = g.withColumns({"m": m, "between": between, "share": F.col("n") / total})
+    k = F.when(F.col("between") + F.col("v") > 0, F.col("between") / (F.col("between") + F.col("v"))).otherwise(0.0)
+    g = checkpoint(g.withColumn("shrunk", F.col("m") + (F.col("gain") - F.col("m")) * k))
+    better = deltas.sparkSession.createDataFrame([], "p_better double, of string")
+    for (c,) in g.select("tall").collect():
+        b = bootstrap(numbered(deltas.where(F.col("tall").eqNullSafe(F.lit(c))), ["ID"], "ID"), _REPEATS)
+        better = better.unionByName(b.agg(F.avg((F.col("mean") > 1e-12).cast("double")).alias("p_better")).withColumn("of", F.lit(c).cast("string")))
+    halves = deltas.select("tall", "ID", "delta", F.explode(F.sequence(F.lit(0), F.lit(_HALVES - 1))).alias("r"))
+    halves = halves.withColumn("half", draw(F.lit("half"), F.col("r").cast("string"), F.lit(":"), F.col("ID")) % 2)
+    side = lambda i: F.signum(F.round(F.avg(F.when(F.col("half") == i, F.col("delta"))), 9))
+    signs = halves.groupBy("tall", "r").agg(side(0).alias("a"), side(1).alias("b"))
+    signs = signs.groupBy(F.col("tall").cast("string").alias("in")).agg((F.count_if((F.col("a") == F.col("b")) & (F.col("a") != 0)) / _HALVES).alias("same_sign"))
+    name = F.col("tall").cast("string")
+    t = g.join(better, name.eqNullSafe(F.col("of")), "left").join(signs, name.eqNullSafe(F.col("in")), "left")
+    ok = (F.col("p_better") >= 0.9) & (F.col("shrunk") > 0) & (F.col("same_sign") > 0.5) & (F.col("share") * F.col("gain") >= 0.002)
+    return t.select("tall", "n", r6(F.col("gain"), "gain"), r6(F.col("shrunk"), "shrunk"), r6(F.col("p_better"), "p_better"), r6(F.col("same_sign"), "same_sign"), F.coalesce(ok, F.lit(False)).alias("routed"))
+
+
 @R.add(W(*S, "m as (select source, avg(loss) as l from scored group by 1)", "g as (select max(l) filter (source = 'ctc') - min(l) as gain, arg_min(source, round(l, 9)) as best from m)") + "select best, round(gain, 6) as gain, gain > 0.001 as passed, case when gain > 0.001 then best else 'ctc' end as chosen from g")
 def r_primary(spark, d):
     """The method that is handed in: the best if it passes its gate, else the fallback."""

@@ -107,3 +107,13 @@ def test_all_readings_are_scored(spark):
     first = REGISTRY.queries["l_scores"](spark, d)
     assert first.exceptAll(got.select(first.columns)).count() == 0
     assert got.count() > first.count()
+
+
+def test_routing_rule_needs_all_four(spark):
+    from scrivener.plans.q_more import routing_rule
+
+    sure = [(f"a{i}", 1, 0.02 + 0.0001 * (i % 7)) for i in range(200)]
+    noise = [(f"b{i}", 0, 2.0 if i == 0 else -0.005 if i % 2 else 0.003) for i in range(200)]  # one line makes the whole gain
+    t = {r["tall"]: r for r in routing_rule(spark.createDataFrame(sure + noise, "ID string, tall int, delta double")).collect()}
+    assert t[1]["routed"] and t[1]["p_better"] == 1 and t[1]["same_sign"] == 1
+    assert t[0]["gain"] * 0.5 >= 0.002 and t[0]["shrunk"] > 0 and not t[0]["routed"]
