@@ -4,6 +4,9 @@ _BARE = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 _TRIM = "regexp_replace(regexp_replace({}, '^[ \\t\\n\\r]+', ''), '[ \\t\\n\\r]+$', '')"
 
 
+_KEY = "regexp_extract({}, '^[^\\p{{L}}\\p{{N}}{{]*([\\p{{L}}\\p{{N}}][^:]*?)\\s*:', 1)"
+
+
 def _bare(x: str) -> str:
     return _BARE.format(x)
 
@@ -67,13 +70,14 @@ named as (select form, min(fields) as merged from t where fields is not null gro
 tc as (select no, case when merged is null then 'p' || t.form else 'l' || merged end as class from t left join named using (form) where length(t.form) >= 20),
 r as (select cand_no as no, ID, {_bare('text')} as form, trim(regexp_replace(regexp_replace(raw, '^\\s*```([A-Za-z0-9_]*[ \\t]*\\r?\\n)?\\s*|\\s*```\\s*$', '', 'g'), '^\\s+|\\s+$', '', 'g')) as inside
   from candidate where ID is not null and text is not null and raw <> ''),
-p as (select no, ID, form, inside, try_cast(regexp_replace(inside, ',\\s*\\}}\\s*$', '}}') as json) as j,
-    list_filter(string_split_regex(inside, '\\r\\n|\\r|\\n'), lambda x: not regexp_matches(x, '^\\s*$')) as ls from r where length(form) >= 20),
+p as (select no, ID, form, inside, case when inside like '{{%' then try_cast(regexp_replace(inside, ',\\s*\\}}\\s*$', '}}') as json) end as j,
+    list_filter(string_split_regex(inside, '\\r\\n|\\r|\\n'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) as ls from r),
+names as (select distinct {_bare('k')} as name from (select unnest(json_keys(j)) as k from p)),
 q as (select no, ID, form, case
-    when inside like '{{%' and j is not null then chr(4) || array_to_string(list_sort(list_transform(json_keys(j), lambda k: {_bare('k')} || chr(3) || coalesce({_bare("json_extract_string(j, '$.' || k)")}, ''))), chr(2))
-    when (len(ls) > 1 or lower(regexp_extract(ls[1], '^\\s*([\\p{{L}}\\p{{N}}_][^:]*?)\\s*:', 1)) in ('reading', 'ink', 'sure')) and len(list_filter(ls, lambda x: not regexp_matches(x, '^\\s*[\\p{{L}}\\p{{N}}_][^:]{{0,39}}?\\s*:'))) = 0
-      then chr(4) || array_to_string(list_sort(list_transform(ls, lambda x: {_bare("regexp_extract(x, '^([^:]*):', 1)")} || chr(3) || {_bare("regexp_replace(x, '^[^:]*:', '')")})), chr(2))
-    else {_bare('inside')} end as raw_form from p),
+    when j is not null then chr(4) || array_to_string(list_sort(list_transform(json_keys(j), lambda k: {_bare('k')} || chr(3) || coalesce({_bare("json_extract_string(j, '$.' || k)")}, ''))), chr(2))
+    when (len(ls) > 1 or {_bare(_KEY.format('ls[1]'))} in (select name from names)) and inside not like '{{%' and len(ls) > 0 and len(list_filter(ls, lambda x: {_KEY.format('x')} = '')) = 0
+      then chr(4) || array_to_string(list_sort(list_transform(ls, lambda x: {_bare(_KEY.format('x'))} || chr(3) || {_bare("regexp_replace(x, '^[^:]*:', '')")})), chr(2))
+    else {_bare('inside')} end as raw_form from p where length(form) >= 20),
 c as (
   select 'train' as tbl, no, class from tc
   union all select 'candidate', no, ID || chr(1) || form || chr(1) || raw_form from q),

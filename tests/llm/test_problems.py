@@ -165,6 +165,25 @@ def test_reading_copies(spark):
     assert rows(copies.reading_copies(t.limit(0))) == []
 
 
+def test_replies_in_quotes_with_stray_lines_and_long_names(spark):
+    text, name = "and all that pasture of Anne", "name of the field " * 4
+    raws = [
+        "Parish: Ritis Hill\nArea: 3 acres", "'Area : 3 Acres\nparish: Ritis Hill.'", "“parish: ritis hill\n- Area: 3 acres”\n.",  # 0 to 2
+        f"{name}: 3\nArea: 4", f"area: 4\n{name.upper()}: 3",  # 3, 4
+        "Temiwell\nArea: 4 acres", "area: 4 acres\nTemiwell",  # a line that is no field: plain text
+        '{"Tint": "red"}', "tint: Red", "tint red", "tone: red", "tone red", "Area: 4 acres Temiwell",  # 7 to 12
+    ]
+    t = spark.createDataFrame([(i, "a", text, r) for i, r in enumerate(raws)], "cand_no long, ID string, text string, raw string")
+    assert rows(copies.reading_copies(t).select("first_no", "copy_no")) == [(0, 1), (0, 2), (3, 4), (6, 12), (7, 8), (10, 11)]
+    assert sorted(r[0] for r in copies.field_names(t).collect()) == ["tint"]
+
+
+def test_lists_cut_differently_are_one_class(spark):
+    rows_in = ["Area: 30 acres; of Kingsland parish", "Area: 30; acres of Kingsland parish", "of Kingsland parish; Area: 30 acres", "Area 30 acres of kingsland parish", "acres of Kingsland parish | Area: 30"]
+    t = spark.createDataFrame(list(enumerate(rows_in)), "row_no long, Target string")
+    assert rows(copies.label_copies(t).select("first_no", "copy_no")) == [(0, i) for i in range(1, 5)]
+
+
 def edits(draw, s, n):
     s = list(s)
     for _ in range(n):
