@@ -86,6 +86,29 @@ g as (select tbl, class, min(no) as first_no, count(*) as copies from c group by
 P5_FOUND = _P5 + "select tbl, first_no, no as copy_no from c join g using (tbl, class) where no <> first_no"
 P5_COUNTS = _P5 + "select tbl, first_no, copies from g"
 
+_P6 = f"""
+with t as (select row_no as no, {_bare('Target')} as form,
+    case when contains(Target, ':') and regexp_matches(Target, '[;|\\n]') then
+      array_to_string(list_sort(list_filter(list_transform(string_split_regex(Target, '[;|\\n]'), lambda x: {_bare('x')}), lambda x: x <> '')), chr(2)) end as fields
+  from train where Target is not null),
+named as (select form, min(fields) as merged from t where fields is not null group by form),
+tc as (select no, t.form, case when merged is null then 'p' || t.form else 'l' || merged end as class from t left join named using (form) where length(t.form) >= 20),
+first_no as (select ID, min(row_no) as no from train where ID is not null group by ID),
+sp as (select ID, bool_or(split = 'train') as trains, bool_or(split in ('valid', 'test')) as tests from image_features where ID is not null group by ID),
+l as (select ID, form, class, trains, tests from first_no join tc using (no) join sp using (ID)),
+hits as (
+  select a.ID as x, b.ID as y from l a join l b on a.tests and b.trains and a.ID <> b.ID
+    and (a.class = b.class or (abs(length(a.form) - length(b.form)) * 100 <= 8 * greatest(length(a.form), length(b.form))
+      and levenshtein(a.form, b.form) * 100 <= 8 * greatest(length(a.form), length(b.form))))),
+found as (select distinct least(x, y) as id_a, greatest(x, y) as id_b from hits union select ID, ID from sp where trains and tests)
+"""
+P6_FOUND = _P6 + "select id_a, id_b from found"
+P6_REPORT = _P6 + """
+, hit as (select id_a as ID from found union select id_b from found),
+per as (select distinct ID, split, regexp_extract(image_path, '([^/]+)/[^/]+$', 1) as volume from image_features where split in ('valid', 'test') and ID is not null)
+select split, volume, count(*) as lines, count(hit.ID) as overlapping from per left join hit using (ID) group by split, volume
+"""
+
 _P8 = """
 with w as (
   select 'i' as kind, item_id as id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as ws from heldout_items where text is not null and item_id is not null
@@ -98,5 +121,5 @@ P8_CLEAN = _P8 + "select doc_id, source from documents where doc_id not in (sele
 
 SQL = {
     "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_counts": P4_COUNTS,
-    "p5_found": P5_FOUND, "p5_counts": P5_COUNTS, "p8_found": P8_FOUND, "p8_clean": P8_CLEAN,
+    "p5_found": P5_FOUND, "p5_counts": P5_COUNTS, "p6_found": P6_FOUND, "p6_report": P6_REPORT, "p8_found": P8_FOUND, "p8_clean": P8_CLEAN,
 }

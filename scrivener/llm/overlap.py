@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .copies import MIN_LENGTH, value_classes
 
 #: Characters of a shingle, the tolerated share of edits in percent, and the size of the table of shingle counts.
@@ -97,27 +98,30 @@ def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Exact: k edits spoil at most k of the disjoint shingles of a text, so of its k + 1 rarest one is whole in every partner and lies at
     most k characters off. Index of `left`: those; probes of `right`: all shingles; filters: length, place, letter bits; then the distance.
-    The order of rarity comes from a table of counts of fixed size (2^18), which is all that is broadcast.
+    The order of rarity comes from a table of counts of fixed size (2^18), which is all that is broadcast. Forms are folded and numbered
+    once, in one table that every later step reads.
     """
     spark = left.sparkSession
-    sides = [d.select("form").where(F.length("form") >= MIN_LENGTH).distinct().select(F.xxhash64("form").alias("id"), "form") for d in (left, right)]
+    sides = [d.select("form", F.lit(x == 0).alias("l"), F.lit(x == 1).alias("r")) for x, d in enumerate((left, right))]
+    forms = sides[0].unionByName(sides[1]).where(F.length("form") >= MIN_LENGTH).groupBy("form").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    forms = checkpoint(forms.select(F.monotonically_increasing_id().alias("id"), "form", "l", "r"))
+    a, b = (forms.where(x).select("id", "form") for x in "lr")
     counts = np.zeros(BUCKETS, np.int64)
-    table = sides[0].unionByName(sides[1]).mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n"))
-    for bucket, n in table.collect():
+    for bucket, n in forms.select("id", "form").mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
         counts[bucket] = n
     shared = spark.sparkContext.broadcast(counts)
     schema = "id long, shingle long, at int, len int, s1 long, s2 long"
-    a, b = (s.mapInArrow(_signatures(shared, p), schema).toDF(*[f"{c}_{x}" for c in ("id", "shingle", "at", "len", "s1", "s2")]) for s, p, x in ((sides[0], True, "a"), (sides[1], False, "b")))
+    index, probes = (s.mapInArrow(_signatures(shared, p), schema).toDF(*[f"{c}_{x}" for c in ("id", "shingle", "at", "len", "s1", "s2")]) for s, p, x in ((a, True, "a"), (b, False, "b")))
     k = F.expr(f"greatest(len_a, len_b) * {PERCENT} div 100")
     pairs = (
-        a.join(b, F.col("shingle_a") == F.col("shingle_b"))
+        index.join(probes, F.col("shingle_a") == F.col("shingle_b"))
         .where((F.abs(F.col("len_a") - F.col("len_b")) <= k) & (F.abs(F.col("at_a") - F.col("at_b")) <= k))
         .where(F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b"))) <= 2 * k)
         .select("id_a", "id_b").distinct()
     )
-    a, b = (s.toDF(f"id_{x}", f"form_{x}") for s, x in zip(sides, "ab"))
     near = f"levenshtein(form_a, form_b, cast(greatest(length(form_a), length(form_b)) * {PERCENT} div 100 as int)) >= 0"
-    return pairs.join(a, "id_a").join(b, "id_b").where(near).select(F.col("form_a").alias("left_form"), F.col("form_b").alias("right_form"))
+    pairs = pairs.join(a.toDF("id_a", "form_a"), "id_a").join(b.toDF("id_b", "form_b"), "id_b").where(near)
+    return pairs.select(F.col("form_a").alias("left_form"), F.col("form_b").alias("right_form"))
 
 
 def line_splits(images: DataFrame) -> DataFrame:
@@ -136,10 +140,10 @@ def split_overlaps(images: DataFrame, train: DataFrame) -> DataFrame:
     least 20 characters. Null IDs, splits and Targets give no pair. Labels are compared once per distinct form; the lines of a form come
     in by joins, so what is many is only the result itself.
     """
-    splits = line_splits(images)
+    splits = line_splits(images).where("trains or tests")
     classes = value_classes(train, "row_no", "Target")
     labels = train.where("ID is not null and row_no is not null").groupBy("ID").agg(F.min("row_no").alias("no"))
-    lines = labels.join(classes, "no").where(F.length("form") >= MIN_LENGTH).select("ID", "form", "class").distinct().join(splits, "ID")
+    lines = checkpoint(labels.join(splits, "ID").join(classes, "no").where(F.length("form") >= MIN_LENGTH).select("ID", "form", "class", "trains", "tests").distinct())
     tests = lines.where("tests").select(F.col("ID").alias("id_e"), F.col("form").alias("form_e"), F.col("class").alias("class_e"))
     trains = lines.where("trains").select(F.col("ID").alias("id_t"), F.col("form").alias("form_t"), F.col("class").alias("class_t"))
     same = tests.join(trains, F.col("class_e") == F.col("class_t")).select("id_e", "id_t")
