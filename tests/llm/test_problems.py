@@ -283,10 +283,12 @@ def test_truncated(spark):
     draw = random.Random(8)
     noun = lambda: draw.choice(["mill", "pasture", "gully", "wharf", "house"])
     line = lambda: draw.choice([f"Mr. {noun().title()} sold the {noun()}.", f"See No. {draw.randrange(99)} for the {noun()}.", f"It was agreed that the {noun()} be kept!"])
+    name = lambda: draw.choice(["Anne", "Cane", "Rafe", "Nimled", "Kigpot"])
     docs = []
     for i in range(600):
         text = " ".join(line() for _ in range(draw.randrange(1, 9)))
-        docs.append((i, (text[: draw.randrange(5, len(text))] if i % 12 == 0 else text) + ("\n\n[kept here]" if i % 3 == 0 else ""), "ab"[i % 2], None))
+        under = draw.choice(["", "", "\n" + name() + " " + name() + ", " + noun(), f"\nEntered {draw.randrange(30)} {name()}", "".join(f"\n- {draw.randrange(99)} {noun()}s" + draw.choice(["", f", £{draw.randrange(99)}"]) for _ in range(4))])  # forms are learned from the corpus
+        docs.append((i, (text[: draw.randrange(5, len(text))] if i % 12 == 0 else text) + under + ("\n\n[kept here]" if i % 3 == 0 else ""), "ab"[i % 2], None))
     probes = [(1000 + i, t, "a", len(t)) for i, (t, _) in enumerate(CUT)]
     odd = [(2000, None, "a", 1), (2001, "", None, None), (2002, " \n", "a", 2), (2003, "x" * 50_000, None, 7)]
     t = spark.createDataFrame([(*d, 1) for d in docs + probes + odd], "doc_id long, text string, source string, n_chars long, word int").repartition(3)
@@ -313,6 +315,38 @@ def test_truncated_counts_copies_of_a_text_once(spark):
     assert [sum(got[1000 + i] for i in range(k, 450, 3)) for k in range(3)] == [150, 0, 150]
 
 
+def test_truncated_has_no_limit_of_length(spark):
+    """A source's line of 300 characters, an abbreviation of 12 letters, a last word of 500, and a quote opened 900 characters before the end."""
+    draw = random.Random(10)
+    noun = lambda: draw.choice(["mill", "pasture", "gully", "wharf", "house"])
+    line = lambda: draw.choice([f"The Honourablest. {noun()} sold the {noun()} no. {draw.randrange(9999)}.", f"It was agreed that the {noun()} be kept, as {draw.randrange(9999)} shillings were paid!"])
+    kept = "\n" + "kept in the reading room " * 12
+    docs = [(i, " ".join(line() for _ in range(draw.randrange(1, 9))) + kept * (i % 2 == 0), "ab"[i % 2], None) for i in range(500)]
+    said = "“The mill is old. " + " ".join(line() for _ in range(20))
+    probes = ["The mill was sold." + kept, "The mill was so" + kept, "They sold it to the Honourablest.", "The mill " + "x" * 500, said + "”"]
+    docs += [(1000 + i, x, "a", None) for i, x in enumerate(probes)]
+    t = spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").repartition(3)
+    got = {r[0]: r[2] >= 0.5 for r in truncated.cut_scores(t).collect()}
+    assert [got[1000 + i] for i in range(5)] == [False, True, True, True, False]
+    tail = [f for f in truncated.features(said, False, False, None, 1) if f.startswith("open")]
+    assert tail == ["open True stop"]
+
+
+def test_forms_of_lines_under_texts(spark):
+    draw = random.Random(12)
+    name = lambda: draw.choice(["Anne", "Cane", "Rafe", "Nimled"])
+    texts = []
+    for i in range(400):
+        body = "\n".join(f"{name()} {name()} sold the mill of {name()} for {draw.randrange(99)} pounds." for _ in range(4))
+        texts.append(body[: draw.randrange(len(body) - 60, len(body) - 5)] if i % 4 == 0 else body + draw.choice([f"\nDone {draw.randrange(30)} {name()}", f"\n{name()} {name()} [seal]"]))
+    t = spark.createDataFrame([(x, None) for x in texts], "text string, under array<long>")
+    forms = truncated.forms_under(t, set(), len(texts))
+    assert {"Aa 9 Aa", "=Done 9 Aa", "Aa Aa [ a ]"} <= forms
+    assert not {f for f in forms if f.endswith("sold") or f in ("Aa Aa a", "Aa Aa a a", "Aa Aa", "Aa")}
+    assert truncated.ending("The mill was so\nAnne Cane [seal]\n\nDone 3 Rafe", set(), forms)[0] == "The mill was so"
+    assert [truncated.line_hash(x) for x in ("", "é a")] == [r[0] for r in spark.createDataFrame([("",), ("é a",)], "x string").select(F.xxhash64("x")).collect()]
+
+
 @pytest.mark.parametrize("name", sorted(oracles.SQL))
 def test_sql(spark, name):
     folder = Path("/root/testdata/sf0.001")
