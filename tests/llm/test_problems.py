@@ -235,6 +235,23 @@ def test_tokens(spark, monkeypatch):
     back = {r["doc_id"]: r["text"] for r in tokens.decode(got).collect()}
     assert back == {i: x or "" for i, x in [*enumerate(texts), (None, "a b")]}
     assert got.limit(0).count() == 0 and tokens.encode(docs.limit(0)).count() == 0
+    for part in (1, 10**9):  # no word is heavy, every word is
+        assert Counter((r[0], tuple(r[1])) for r in tokens.encode(docs, heavy_part=part).collect()) == want
+
+
+def test_words_are_cut_as_the_tokenizer_cuts_them():
+    import regex
+    from tokenizers import Tokenizer
+
+    quick, slow, written = tokens.splitter(tokens.vocabulary())
+    own = Tokenizer.from_file(tokens.vocabulary()).pre_tokenizer.pre_tokenize_str
+    settled = regex.compile(tokens._SETTLED)
+    every = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) if settled.fullmatch(c)]
+    assert len(every) > 40_000
+    for i in range(0, len(every), 100):
+        text = "".join(f"a{c}1{c}. {c}{c}b" for c in every[i : i + 100])
+        assert [written(w) for w in quick(text)] == [w for w, _ in own(text)] == slow(text)
+    assert quick("𝔘") is None
 
 
 def test_leaks(spark):
