@@ -47,6 +47,13 @@ reach(a, b) as (select a, b from near union select r.a, n.b from reach r join ne
 grouped as (select a as img_no, min(b) as cluster_no from reach group by a having count(*) >= 3)
 """
 P3_FOUND = _P3 + "select cluster_no, img_no from grouped"
+P3_TYPICAL = _P3 + """
+, g as (select cluster_no, img_no, c, s, l, h from grouped join f using (img_no)),
+m as (select cluster_no, count(*) as size, avg(c) as mc, avg(s) as ms, avg(l) as ml, avg(h) as mh from g group by 1),
+far as (select cluster_no, size, img_no, round(pow((c - mc) / 0.03, 2) + pow((s - ms) / 0.004, 2) + pow((l - ml) / 0.0002, 2) + pow(h - mh, 2), 9) as far from g join m using (cluster_no)),
+placed as (select cluster_no, size, cast(row_number() over (partition by cluster_no order by far, img_no) as int) as place, img_no from far)
+select cluster_no, size, place, img_no from placed where place <= 3
+"""
 
 _P4 = """
 with rows_of as (
@@ -120,6 +127,6 @@ P8_FOUND = _P8 + "select item_id, doc_id from hits"
 P8_CLEAN = _P8 + "select doc_id, source from documents where doc_id not in (select doc_id from hits)"
 
 SQL = {
-    "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_counts": P4_COUNTS,
+    "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_typical": P3_TYPICAL, "p4_found": P4_FOUND, "p4_counts": P4_COUNTS,
     "p5_found": P5_FOUND, "p5_counts": P5_COUNTS, "p6_found": P6_FOUND, "p6_report": P6_REPORT, "p8_found": P8_FOUND, "p8_clean": P8_CLEAN,
 }

@@ -125,6 +125,36 @@ def test_clusters(spark, heavy):
             assert cost(by[r["img_no"]]) <= min(cost(m) for m in members) + 1e-6
 
 
+def test_dense_cells_that_meet_at_a_corner_only(spark):
+    """Cells whose bounds are near in each feature, but which hold no pair alike or just one: only extreme points tell."""
+    draw = random.Random(6)
+    tol = [0.03, 0.004, 0.0002, 1]
+    pts = []
+    for spot in range(30):
+        off = draw.choice([-0.03, -0.02, 0.01])
+        for n in range(20):
+            u = draw.random()
+            a = (0.5 + u * 0.5, 1.0 - u * 0.5) if n % 2 else (1.5 + u * 0.5, 2.0 + off - u * 0.5)
+            pts.append((len(pts), 50.01 + spot * 0.6 + a[0] * 0.03, 3.0 + a[1] * 0.004, 0.1, 7))
+    links = [(a[0], b[0]) for a in pts for b in pts if a[0] < b[0] and all(abs(x - y) <= t * (1 + 1e-9) for x, y, t in zip(a[1:], b[1:], tol))]
+    size = Counter(r for _, r in brute_components(links))
+    want = sorted((r, n) for n, r in brute_components(links) if size[r] >= 3)
+    t = spark.createDataFrame(pts, "img_no long, contrast double, stroke_w double, lap_var_norm double, core_h int").repartition(12)
+    assert rows(clusters.similarity_groups(t, heavy=5).select("cluster_no", "img_no")) == want
+    assert 35 < len({r for r, _ in want}) < 60
+
+
+def test_extreme_points():
+    import numpy as np
+
+    x = np.random.default_rng(1).integers(0, 9, (300, 4)).astype(float)
+    x = np.unique(x, axis=0)
+    import itertools
+
+    want = [any(not any((q * s >= p * s).all() and (q != p).any() for q in x) for s in map(np.array, itertools.product((1, -1), repeat=4))) for p in x]
+    assert clusters._extreme(x).tolist() == want
+
+
 def test_terms(spark):
     texts = ["a  b\ta", "", None, " ", "b c d", "x" * 70_000, "é É", "a", "a"] + ["a b"] * 20
     t = spark.createDataFrame([(x, 1) for x in texts], "text string, term int").repartition(3)
