@@ -6,10 +6,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, width
+from ..operators.similar import components
+from ..session import checkpoint
 
-#: Links that one task may merge; 16 bytes each on the wire, some 200 bytes each in the task's table.
+#: Links that one task may merge; 16 bytes each on the wire, some 200 bytes each in the task's table. And forests merged by one task.
 MERGE_LIMIT = 1_000_000
+FAN = 16
 _SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -39,42 +41,24 @@ def _forest(links: DataFrame) -> DataFrame:
     return links.mapInArrow(local_forest, "a long, b long")
 
 
-def _stars(links: DataFrame) -> DataFrame:
-    """Large-star and small-star rounds until nothing changes; no task ever holds a whole component."""
-    before = None
-    while True:
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        links = checkpoint(
-            large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        )
-        now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b"))).first()
-        if now == before:
-            return links
-        before = now
-
-
 def connected_components(links: DataFrame, merge_limit: int = MERGE_LIMIT) -> DataFrame:
     """(a, b) links between long ids -> (node, root) of every linked node; root is the smallest id of its component.
 
     Each partition first contracts its links to a forest, so that at most one link per node and partition moves on.
-    Forests are then brought together by node, each level in fewer partitions, until at most merge_limit links are left
-    and one task can merge them. If more remain after a merge by node, star contraction ends the job in tables, without
-    any task that holds all links. Null ends and loops are no links; no links give no rows.
+    Forests are then brought together level by level, FAN of them in one task, as long as a task gets at most merge_limit links; each level
+    drops the links that a tree of the level before holds already. What is left in more than one tree is contracted by star rounds in
+    tables, so no task ever holds all links. Null ends and loops are no links; no links give no rows.
     """
     links = links.toDF("a", "b").where("a != b")
+    parts = links.rdd.getNumPartitions()
     forest = checkpoint(_forest(links))
     n = forest.count()
-    if n > merge_limit:
-        forest = checkpoint(_forest(forest.repartition(max(width(links), -(-n // merge_limit)), "a")))
-        n = forest.count()
-    if n > merge_limit:
-        forest = _stars(forest)
-    else:
-        forest = checkpoint(_forest(forest.repartition(1)))
+    while parts > 1 and n <= merge_limit * (fewer := -(-parts // FAN)):
+        # a tree's links go by the range of their root, so trees that share roots meet early; the top level holds what is left of all
+        forest = checkpoint(_forest(forest.repartitionByRange(fewer, "b") if fewer > 1 else forest.repartition(1)))
+        parts, n = fewer, forest.count()
+    if parts > 1:
+        return components(forest)
     return forest.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         forest.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

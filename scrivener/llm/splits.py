@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import stripped
 from .components import connected_components
 
-#: Hash buckets that a class of equally large groups is ranked in.
-BUCKETS = 1024
+#: Groups of one size that one task ranks, about; larger classes are cut into hash buckets.
+BUCKET_ROWS = 50_000
 
 
 def hand_of_line(images: DataFrame) -> DataFrame:
@@ -85,20 +85,22 @@ def share_out(sizes: list[tuple[int, int]], shares: list[tuple[str, float]]) ->
     return out
 
 
-def assign_groups(groups: DataFrame, plan: DataFrame) -> DataFrame:
+def assign_groups(groups: DataFrame, plan: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(entity, size) and (split, share) -> (entity, split): each group whole in one split, shares as near as the greedy rule gets.
 
     To the driver come the plan and the histogram of sizes: at most sqrt(2 * records) rows, as sizes are distinct whole numbers.
-    Ranks within a size come from counts per hash bucket, so no task sorts a whole class. An empty plan gives null splits.
+    Ranks within a size come from counts per hash bucket of about bucket_rows groups, so no task sorts a whole class. An empty plan gives null splits.
     """
     spark = groups.sparkSession
-    groups = groups.select("entity", F.col("size").cast("long").alias("size"), F.pmod(F.xxhash64("entity"), F.lit(BUCKETS)).alias("bucket"))
+    groups = groups.select("entity", F.col("size").cast("long").alias("size"))
     shares = [(r[0], r[1]) for r in plan.where("split is not null").groupBy("split").agg(F.max("share")).collect()]
     if not shares:
         return groups.select("entity", F.lit(None).cast("string").alias("split"))
+    sizes = [(r[0], r[1]) for r in groups.groupBy("size").agg(F.count("*")).collect()]
+    buckets = max([1, *(-(-n // bucket_rows) for _, n in sizes)])
+    groups = groups.withColumn("bucket", F.pmod(F.xxhash64("entity"), F.lit(buckets)))
     counts = groups.groupBy("size", "bucket").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("size").orderBy("bucket")) - F.col("n")).drop("n")
-    sizes = [(r[0], r[1]) for r in counts.groupBy("size").agg(F.sum("n")).collect()]
     bands = spark.createDataFrame(share_out(sizes, shares), "size long, lo long, hi long, split string")
     ranked = groups.withColumn("at", F.row_number().over(Window.partitionBy("size", "bucket").orderBy("entity"))).join(before, ["size", "bucket"])
     return (

@@ -89,6 +89,34 @@ def test_splits(spark):
     assert rows(splits.broken_hands(images.limit(0), folds.limit(0))) == []
 
 
+def test_shares_do_not_depend_on_buckets(spark):
+    groups = spark.range(3000).select(F.concat(F.lit("g"), "id").alias("entity"), F.when(F.col("id") % 7 == 0, 3).otherwise(1).alias("size"))
+    plan = spark.createDataFrame([("train", 0.8), ("valid", 0.1), ("test", 0.1)], "split string, share double")
+    for bucket_rows in (50_000, 40):
+        out = splits.assign_groups(groups, plan, bucket_rows).join(groups, "entity")
+        got = {r[0]: (r[1], r[2]) for r in out.groupBy("split").agg(F.count("*"), F.sum("size")).collect()}
+        assert sum(n for n, _ in got.values()) == 3000
+        total = sum(m for _, m in got.values())
+        assert all(abs(got[n][1] - total * p) <= 1 for n, p in (("train", 0.8), ("valid", 0.1), ("test", 0.1)))
+
+
+def test_split_lines_of_the_test_table(spark):
+    """Every line once, no entity and no hand in two splits, shares reached within the largest entity."""
+    d = "/root/testdata/sf0.001"
+    t = queries.p1_splits(spark, d).cache()
+    images, folds = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("image_features", "fold_assignments"))
+    ids = images.select("ID").unionByName(folds.select("ID")).where("ID is not null").select(F.trim(F.regexp_replace("ID", r"\s", ""))).distinct().count()
+    n = t.count()
+    assert n == ids == t.select("line").distinct().count()
+    assert t.groupBy("entity").agg(F.countDistinct("split").alias("k")).where("k > 1").count() == 0
+    hands = splits.hand_of_line(images).join(t, "line").groupBy("hand").agg(F.countDistinct("split").alias("k"))
+    assert hands.where("k > 1").count() == 0
+    most = t.groupBy("entity").count().agg(F.max("count")).first()[0]
+    got = {r[0]: r[1] for r in t.groupBy("split").count().collect()}
+    for name, share in spark.read.parquet(f"{d}/split_plan.parquet").collect():
+        assert abs(got.get(name, 0) - share * n) <= most
+
+
 def test_top(spark):
     t = spark.createDataFrame(
         [(1, "a", "x", 0, 9), (2, "a", "x", 0, 9), (3, "a", "y", 0, 9), (4, "a", "", 1, 9), (5, "a", "x", 2, 9), (6, "a", "z", 3, 9), (7, "a", "é", 3, 9), (8, "a", "Z", 3, 9), (9, None, "x", 0, 9), (10, "a", None, 0, 9), (11, "a", "q", None, 9), (12, "b", "x", 5, 9)],
@@ -400,8 +428,40 @@ def test_sql(spark, name):
     assert oracle.difference(queries.QUERIES[name](spark, str(folder)), oracle.duck(folder), oracles.SQL[name]) == ""
 
 
-def test_every_found_query_runs(spark):
-    for name in ("p6_found", "p7_ids", "p9_found", "p6_report", "p9_by_source"):
-        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
-
+def test_items_and_their_longest_runs(spark):
+    """p8_items against its documents and a plain search over the small tables."""
+    d = "/root/testdata/sf0.001"
+    docs = {r[0]: leakage.words_of(r[1]) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    items = {r[0]: leakage.words_of(r[1]) for r in spark.read.parquet(f"{d}/heldout_items.parquet").select("item_id", "text").collect()}
+    got = {r["item_id"]: (r["documents"], r["longest"]) for r in queries.p8_items(spark, d).collect()}
+    found = {}
+    for r in queries.p8_found(spark, d).collect():
+        found.setdefault(r[0], []).append(r[1])
+    assert {i: n for i, (n, _) in got.items()} == {i: len(x) for i, x in found.items()}
+    for i, (_, longest) in got.items():
+        grams = lambda ws, n: {tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)}
+        own = [grams(items[i], longest), grams(items[i], longest + 1)]
+        assert any(own[0] & grams(docs[x], longest) for x in found[i]) and not any(own[1] & grams(docs[x], longest + 1) for x in found[i])
+
+
+def test_ids_of_the_test_table(spark):
+    """p7_ids against the tokenizer run on whole texts; p7_roundtrip brings every text back."""
+    from tokenizers import Tokenizer
 
+    d = "/root/testdata/sf0.001"
+    t = Tokenizer.from_file(tokens.vocabulary())
+    t.encode_special_tokens = True
+    want = {r[0]: t.encode(r[1] or "", add_special_tokens=False).ids for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    assert {r[0]: list(r[1]) for r in queries.p7_ids(spark, d).collect()} == want
+    assert all(r["documents"] == r["equal"] for r in queries.p7_roundtrip(spark, d).collect())
+
+
+def test_cut_texts_of_the_test_table(spark):
+    """Scores are shares, one row per text that is not blank, and the report adds up to them."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").where(F.col("text").rlike(r"(?U)\S"))
+    found = {r[0] for r in queries.p9_found(spark, d).collect()}
+    report = queries.p9_by_source(spark, d).collect()
+    assert sum(r["texts"] for r in report) == docs.count() and sum(r["cut"] for r in report) == len(found) > 0
+    whole = {r[0] for r in docs.where(F.col("text").rlike(r"^[^\n]*[a-z]{3}[.!?]$")).select("doc_id").collect()}  # one line: nothing under it
+    assert len(found & whole) < 0.01 * len(whole)
