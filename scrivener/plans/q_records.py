@@ -138,7 +138,8 @@ def x_area(spark, d):
     return t.select("row_no", F.regexp_extract("area", "^([0-9]+)", 1).cast("int").alias("acres"), F.regexp_extract("area", "([0-9]+) perch", 1).cast("int").alias("perches"))
 
 
-_PAR = "case " + " ".join(f"when regexp_matches(s, '(?i){C._parish(p)}[\\s,;:\\-]*$') then '{p}'" for p in C.PARISHES) + " " + " ".join(f"when regexp_matches(s, '(?i){C._parish(p)}') then '{p}'" for p in C.PARISHES) + f" else '{C.DEFAULT_PARISH}' end"
+_NAMES = [p.lower().replace("st. ", "(st\\.?|saint)\\s*").replace("christ ", "christ\\s*") for p in C.PARISHES]
+_PAR = "case " + " ".join(f"when regexp_matches(s, '(?i)\\b{n}\\b{end}') then '{p}'" for end in ("[\\s,;:\\-]*$", "") for n, p in zip(_NAMES, C.PARISHES)) + f" else '{C.DEFAULT_PARISH}' end"
 
 
 @R.add(f"with s as (select c_custkey, 'Lot ' || c_custkey || ' ' || case c_custkey % 4 when 0 then 'Saint Lucy, St. John' when 1 then 'near christ church;' when 2 then 'St.Peter road' else '' end as s from customer) select c_custkey, {_PAR} as parish from s")
@@ -149,7 +150,7 @@ def x_parish(spark, d):
     return table(spark, d, "customer").select("c_custkey", C.parish(a).alias("parish"))
 
 
-@R.add("select p_partkey, case when regexp_matches(u, '(?i)^(sq(uare)?\\.?\\s*m(eters?)?|sqm|m²|m\\^?2|m\\s*2)$') then 'sq m' when regexp_matches(u, '(?i)^(hectares?|ha)$') then 'ha' end as unit from (select p_partkey, ['Sq. m', 'm2', 'Hectare', 'acres', 'square meters', 'HA'][1 + p_partkey % 6] as u from part)")
+@R.add("select p_partkey, case when lower(u) in ('sq. m', 'm2', 'square meters') then 'sq m' when lower(u) in ('hectare', 'ha') then 'ha' end as unit from (select p_partkey, ['Sq. m', 'm2', 'Hectare', 'acres', 'square meters', 'HA'][1 + p_partkey % 6] as u from part)")
 def x_unit(spark, d):
     u = F.element_at(F.array(*map(F.lit, ("Sq. m", "m2", "Hectare", "acres", "square meters", "HA"))), (F.col("p_partkey") % 6 + 1).cast("int"))
     return table(spark, d, "part").select("p_partkey", C.unit(u).alias("unit"))

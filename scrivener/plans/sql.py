@@ -1,6 +1,6 @@
 """SQL of the forms that many oracle queries share. Written apart from the expressions they check."""
 
-from ..functions import clean as _c
+import unicodedata
 
 _q = lambda s: "'" + s.replace("'", "''") + "'"
 
@@ -18,13 +18,35 @@ def words(x: str) -> str:
     return split(norm(x))
 
 
+# The collection's character set and what stands for other characters, written here apart from the library's own tables.
+_RAISED = dict(zip("ᵃᵇᶜᵈᵉᶠᵍʰⁱʲᵏˡᵐⁿᵒᵖʳˢᵗᵘᵛʷˣʸᶻ²³¹⁰", "abcdefghijklmnoprstuvwxyz2310"))
+_PLAIN = {"ſ": "s", "þ": "y", "Þ": "Y", "⁊": "&", "+": "&", "‘": "'", "’": "'", "ʼ": "'", "`": "'", "“": '"', "”": '"', "″": '"', "–": "-", "—": "-", "−": "-", "‐": "-"}
+_GONE = "[]{}|\\*#?"
+
+
+def _bases() -> dict[str, str]:
+    """Character -> its decomposition without marks, where that is other and has something plain, or nothing."""
+    out = {}
+    for n in range(0x80, 0x20000):
+        c = chr(n)
+        if not 0xD800 <= n < 0xE000 and c not in _RAISED and c not in _PLAIN and c != "…":
+            d = "".join(x for x in unicodedata.normalize("NFKD", c) if unicodedata.combining(x) == 0)
+            if d != c and (d == "" or not all(ord(x) > 127 or x == " " for x in d)):
+                out[c] = d
+    return out
+
+
+_ALL = _bases()
+_SINGLE = _RAISED | _PLAIN | {c: d for c, d in _ALL.items() if len(d) == 1}
+_NONE = "".join(c for c, d in _ALL.items() if d == "")
+
+
 def clean(x: str) -> str:
-    s = f"regexp_replace(coalesce({x}, ''), {_q(_c.RUNS)}, '^\\1', 'g')"
-    for old, new in _c.EXPANDED.items():
-        s = f"replace({s}, {_q(old)}, {_q(new)})"
-    s = f"regexp_replace(translate({s}, {_q(_c.FROM)}, {_q(_c.TO)}), {_q('[^' + _c.ALLOWED + ']')}, ' ', 'g')"
-    s = f"regexp_replace(regexp_replace(regexp_replace({s}, '\\^+', '^', 'g'), '\\^( |$)', '\\1', 'g'), ' +', ' ', 'g')"
-    return f"trim({s})"
+    """The tables hold no JSON in texts, and no sign that decomposes into several characters; those are tested on a fixture."""
+    s = f"replace(regexp_replace(coalesce({x}, ''), '([{''.join(_RAISED)}]+)', '^\\1', 'g'), '…', '...')"
+    s = f"translate({s}, {_q(''.join(_SINGLE) + _GONE + _NONE)}, {_q(''.join(_SINGLE.values()))})"
+    s = f"regexp_replace({s}, {_q('[^-A-Za-z0-9 ^:;.,~_&' + chr(39) + chr(34) + '()]')}, ' ', 'g')"
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({s}, '\\^+', '^', 'g'), '\\^( |$)', '\\1', 'g'), ' +', ' ', 'g'))"
 
 
 def wdist(a: str, b: str) -> str:

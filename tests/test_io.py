@@ -66,7 +66,12 @@ def test_config(tmp_path):
     c = config.load(str(tmp_path / "main.yaml"), ["m.k.z=[1, 2]"], "big")
     assert c["m"] == {"a": 9, "b": ["x"], "n": ["x"], "k": {"z": [1, 2]}} and c["out"] == "/w/o-9"
     with pytest.raises(KeyError):
-        config.resolved({"a": "${no}"}, {})
+        config.resolved({("a",): "${no}"})
+    with pytest.raises(ValueError):
+        config.resolved({("a",): "${b.c}", ("b", "c"): ["x", "${a}"]})
+    flat = {("m", "a"): 1, ("m", "b"): ["${m.a}", 2], ("n",): "${m}", ("o",): "${n}", ("p",): "${m.a}:${q.r}", ("q", "r"): "${m.a}"}
+    assert config.tree_of(config.resolved(flat)) == {"m": {"a": 1, "b": [1, 2]}, "n": {"a": 1, "b": [1, 2]}, "o": {"a": 1, "b": [1, 2]}, "p": "1:1", "q": {"r": 1}}
+    assert config.layered([{("a", "b"): 1, ("c",): 2}, {("a",): 3}, {("c", "d"): 4}, {("a",): {}}, {("c",): {}}]) == {("a",): {}, ("c", "d"): 4}
 
 
 def test_stages(spark, tmp_path):
