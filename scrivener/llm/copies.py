@@ -11,6 +11,8 @@ from .components import connected_components
 
 #: Letters and digits that a value needs to be compared at all.
 MIN_LENGTH = 20
+#: Names of fields that are broadcast at most; more are joined by a shuffle.
+BROADCAST_NAMES = 10_000
 _NAME = r"^[^\p{L}\p{N}{]*([\p{L}\p{N}][^:]*?)\s*:"
 
 
@@ -113,15 +115,17 @@ def label_copies(train: DataFrame) -> DataFrame:
     return _copies(long_enough.select("no", "class").where("no is not null").distinct())
 
 
-def reading_copies(candidates: DataFrame) -> DataFrame:
+def reading_copies(candidates: DataFrame, broadcast_names: int = BROADCAST_NAMES) -> DataFrame:
     """(first_no, copy_no, copies) of rows of one ID whose text and raw differ in nothing but their writing.
     Null ID, null text, null or empty raw, and texts with fewer than 20 letters and digits give nothing.
 
     A reply of one line `Name: value` is a record only if some reply of the table is an object with a field of that name; these names come
-    in by a join, which lets Catalyst choose by their measured size."""
+    in by a join, broadcast if there are at most broadcast_names of them."""
     rows = candidates.where(F.col("ID").isNotNull() & F.col("cand_no").isNotNull() & (F.col("raw") != "")).select(F.col("cand_no").alias("no"), F.col("ID").alias("line"), F.col("text").cast("string").alias("text"), "raw")
-    names = field_names(rows).withColumn("lone", F.lit(True))
+    names = checkpoint(field_names(rows)).withColumn("lone", F.lit(True))
     rows = rows.withColumn("form", bare(F.col("text"))).where(F.length("form") >= MIN_LENGTH)
-    rows = rows.withColumn("name", lone_name(F.col("raw"))).join(names, "name", "left")
-    form = reply_form(F.col("raw"), F.coalesce("lone", F.lit(False)))
-    return _copies(rows.select("no", key(F.col("line"), F.col("form"), form).alias("class")))
+    of = lambda lone: key(F.col("line"), F.col("form"), reply_form(F.col("raw"), F.lit(lone)))
+    # rows without such a name get one of their own that matches nothing, so they are no hot key; and keys move, not texts
+    rows = rows.select("no", F.coalesce(lone_name(F.col("raw")), F.concat(F.lit("\u0001"), F.col("no"))).alias("name"), of(False).alias("plain"), F.when(lone_name(F.col("raw")).isNotNull(), of(True)).alias("field"))
+    rows = rows.join(F.broadcast(names) if names.count() <= broadcast_names else names, "name", "left")
+    return _copies(rows.select("no", F.when(F.col("lone"), F.col("field")).otherwise(F.col("plain")).alias("class")))

@@ -233,6 +233,7 @@ def test_replies_in_quotes_with_stray_lines_and_long_names(spark):
     ]
     t = spark.createDataFrame([(i, "a", text, r) for i, r in enumerate(raws)], "cand_no long, ID string, text string, raw string")
     assert rows(copies.reading_copies(t).select("first_no", "copy_no")) == [(0, 1), (0, 2), (3, 4), (6, 12), (7, 8), (10, 11)]
+    assert rows(copies.reading_copies(t, broadcast_names=0)) == rows(copies.reading_copies(t))
     assert sorted(r[0] for r in copies.field_names(t).collect()) == ["tint"]
 
 
