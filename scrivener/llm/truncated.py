@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -66,20 +67,19 @@ def _head(line: str) -> str:
 def ending(text: str, under: set[int], forms: set[str]) -> tuple[str, bool]:
     """The text without what stands under its last sentence (lines of the source, lines of a form that stands under texts), and whether
     that is a list: more than one line of a form, or one that begins with no letter."""
-    lines = text.rstrip().split("\n")
-    n, formed, listed = len(lines), 0, False
-    while n:
-        line = lines[n - 1].strip()
+    whole = text.rstrip()
+    end, formed, listed = len(whole), 0, False
+    while end > 0:
+        begin = whole.rfind("\n", 0, end) + 1
+        line = whole[begin:end].strip()
         if line and line_hash(line) not in under:
             parts = parts_of(line)
             if forms.isdisjoint(forms_of(line, parts)):
-                break
+                return whole[:end].rstrip(), listed
             formed += 1
             listed |= formed > 1 or not parts[0].isalpha()
-        n -= 1
-    if n == 0:
-        return text.rstrip(), False
-    return "\n".join(lines[:n]).rstrip(), listed
+        end = begin - 1
+    return whole, False
 
 
 def last_word(body: str) -> str:
@@ -116,8 +116,26 @@ def shortened(abbreviated: bool) -> str:
     return f"short {abbreviated}"
 
 
+@lru_cache(100_000)
+def _place(name: str) -> int:
+    return crc32(name.encode()) % FEATURES
+
+
 def _hashed(names: list[str]) -> list[int]:
-    return [crc32(n.encode()) % FEATURES for n in names]
+    return [_place(n) for n in names]
+
+
+def _union(common: set[int]):
+    """under of a source -> all hashes of lines under its texts; sources are few, so each union is made once a task."""
+    known: dict[tuple, frozenset] = {}
+
+    def of(under) -> frozenset:
+        at = tuple(under or ())
+        if at not in known:
+            known[at] = frozenset(common.union(at))
+        return known[at]
+
+    return of
 
 
 def fit(rows: list[tuple[list[int], int]]) -> np.ndarray:
@@ -169,10 +187,11 @@ def _lines(common: set[int]):
     Above a line counts what stands above the lines that begin as it does, as those of a list do."""
 
     def run(batches):
+        skipped = _union(common)
         for batch in batches:
             whole, finished, goes_on = Counter(), Counter(), Counter()
             for text, under in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                skip = common.union(under or ())
+                skip = skipped(under)
                 lines = [x for x in (y.strip() for y in text.split("\n")) if x]
                 seen, done, longer = set(), set(), set()
                 begin, above = None, False
@@ -213,10 +232,11 @@ def _words(common: set[int], forms: set[str]):
     """Counts per word: with a stop inside texts, without, and with a stop as the end of a text."""
 
     def run(batches):
+        skipped = _union(common)
         for batch in batches:
             dotted, plain, ends = Counter(), Counter(), Counter()
             for text, under in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                body, _ = ending(text, common.union(under or ()), forms)
+                body, _ = ending(text, skipped(under), forms)
                 ws = [w for w in (x.strip("“”‘’\"'()[]*_,;:!?") for x in body.split()) if w]
                 ends.update(filter(None, map(short_form, ws[-1:])))
                 dotted.update(filter(None, map(short_form, ws[:-1])))
@@ -243,11 +263,12 @@ def _examples(common: set[int], forms: set[str], known):
     """From intact texts: their own features, and those of the same text cut somewhere inside."""
 
     def run(batches):
+        skipped = _union(common)
         short = known.value
         for batch in batches:
             rows, labels = [], []
             for text, under, limit, reported in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                body, listed = ending(text, common.union(under or ()), forms)
+                body, listed = ending(text, skipped(under), forms)
                 stem = body.rstrip(_CLOSERS)
                 if not stem or not (stem[-1] in _ENDS or (listed and stem[-1] == ":")) or short_form(last_word(body)) in short:
                     continue
@@ -275,11 +296,12 @@ def _sums(common: set[int], forms: set[str], weights):
     """Of each text the sum of its weights but for the last word's, and that word if it has a full stop."""
 
     def run(batches):
+        skipped = _union(common)
         w = weights.value
         for batch in batches:
             sums, words = [], []
             for text, under, reported, limited in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4, 5))):
-                body, listed = ending(text, common.union(under or ()), forms)
+                body, listed = ending(text, skipped(under), forms)
                 sums.append(float(w[-1] + sum(w[i] for i in _hashed(features(body, listed, bool(limited), reported, len(text))))))
                 words.append(short_form(last_word(_MARK.sub("", body))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(sums, pa.float64()), pa.array(words, pa.string())], names=["doc_id", "source", "z", "word"])
