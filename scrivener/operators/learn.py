@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,17 +115,51 @@ def project(rows: DataFrame, key: str, column: str, k: int) -> DataFrame:
     return z.withColumn("n_", norm).select(key, F.transform("z", lambda x: x / F.col("n_")).alias("unit"))
 
 
-def length_model(rows: DataFrame, group: str, x: list[str], y: str) -> DataFrame:
-    """rows with `predicted` by a Huber regression per group, and `relative`, the residual relative to the prediction."""
-    from pyspark.ml.regression import LinearRegression
-
-    rows = checkpoint(vectors(with_medians(rows, x), x).withColumn("label", F.col(y).cast("double")))
-    parts = []
-    for (g,) in rows.select(group).distinct().orderBy(group).limit(1000).collect():
-        own = rows.where(F.col(group).eqNullSafe(F.lit(g)))
-        parts.append(LinearRegression(loss="huber", maxIter=50, predictionCol="predicted").fit(own).transform(own))
-    t = reduce(lambda a, b: a.unionByName(b), parts) if parts else rows.withColumn("predicted", F.lit(0.0))
-    return t.drop("features", "label").withColumn("relative", (F.col(y) - F.col("predicted")) / F.nullif(F.col("predicted"), F.lit(0.0)))
+def _solved(d: int):
+    """Weighted normal equations of groups, one row each -> their coefficients, the constant first."""
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for r in f["sums"]:
+                a = np.zeros((d, d))
+                a[np.triu_indices(d)] = r[: d * (d + 1) // 2]
+                out.append(np.linalg.lstsq(np.triu(a) + np.triu(a, 1).T, np.array(r[d * (d + 1) // 2 :]), rcond=None)[0].tolist())
+            yield f[["g_"]].assign(beta=out, scale=f["scale"])
+
+    return run
+
+
+def length_model(rows: DataFrame, group: str, x: list[str], y: str, rounds: int = 12, epsilon: float = 1.35) -> DataFrame:
+    """rows with `predicted` by a Huber regression per group, and `relative`, the residual relative to the prediction.
+
+    All groups are fitted at once, however many or large: each round weighs rows by their residual (1 up to epsilon deviations, then less, the
+    deviation from the median of absolute residuals) and brings a group's normal equations together as sums. A null group is a group.
+    Rows with a null or NaN y are not fitted and have a null residual. The first round is a plain regression.
+    """
+    kept, d = rows.columns, len(x) + 1
+    null_group = F.struct(F.col(group).isNull().alias("none"), F.coalesce(F.col(group).cast("string"), F.lit("")).alias("of")).cast("string")
+    rows = checkpoint(with_medians(rows, x).withColumns({"g_": null_group, "y_": F.when(~F.isnan(F.col(y).cast("double")), F.col(y).cast("double"))}))
+    terms = [F.lit(1.0), *[F.col(c).cast("double") for c in x]]
+    models = None
+
+    def fitted(t):
+        return reduce(lambda a, b: a + b, [F.get("beta", F.lit(i)) * v for i, v in enumerate(terms)])
+
+    for _ in range(rounds):
+        t = rows.where("y_ is not null")
+        if models is None:
+            t = t.withColumns({"r_": F.lit(0.0), "w_": F.lit(1.0)})
+        else:
+            t = t.join(models, "g_").withColumn("r_", F.abs(F.col("y_") - fitted(t)))
+            mad = t.groupBy("g_").agg(F.percentile_approx("r_", 0.5, 10_000).alias("mad"))
+            edge = epsilon * F.greatest(F.col("mad") * 1.4826, F.lit(1e-9))
+            t = t.join(mad, "g_").withColumn("w_", F.when(F.col("r_") <= edge, 1.0).otherwise(edge / F.col("r_")))
+        sums = [F.sum(F.col("w_") * terms[i] * terms[j]) for i in range(d) for j in range(i, d)] + [F.sum(F.col("w_") * v * F.col("y_")) for v in terms]
+        grouped = t.groupBy("g_").agg(F.array(*sums).alias("sums"), F.max("r_").alias("scale"))
+        models = checkpoint(grouped.mapInPandas(_solved(d), "g_ string, beta array<double>, scale double").drop("scale"))
+    t = rows.join(models, "g_", "left").withColumn("predicted", fitted(rows))
+    return t.select(*kept, "predicted").withColumn("relative", (F.col(y) - F.col("predicted")) / F.nullif(F.col("predicted"), F.lit(0.0)))
 
 
 def tree_rules(rows: DataFrame, cols: list[str], y: str, depth: int = 3) -> tuple[DataFrame, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +23,14 @@ def session(name: str = "scrivener", cpus: int | str = "*") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder (spark.checkpoint.dir); only where none is set, a local one."""
+    """Use the cluster's shared folder (spark.checkpoint.dir); only where none is set and the master is local, a local one. A cluster
+    without a shared folder is an error: executors could not read each other's files."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scrivener_"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="scrivener_"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
