@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint, width
 from .relations import draw
 
 #: Hash ranges that a global order is cut into, so that no task sorts a whole table.
@@ -34,9 +37,27 @@ def bootstrap(deltas: DataFrame, repeats: int, seed: str = "boot") -> DataFrame:
     return hits.join(deltas.select("at", "delta"), "at").groupBy("repeat").agg((F.sum(F.col("delta") * F.col("k")) / n).alias("mean"))
 
 
-def tied_ranks(df: DataFrame, x: str, keys: list[str]) -> DataFrame:
-    """df with `rank_`: average rank of x within keys. Counts per distinct value come first, so ties cost one row."""
+def running(df: DataFrame, keys: list[str], x: str, columns: list[str]) -> DataFrame:
+    """df with `upto_c` for each of the columns: its sum over the rows of the same keys up to x. Rows go by ranges of (keys, x) and are summed
+    inside a range; only the sums of the ranges, as many as there are shuffle partitions, meet in one window. The ranges are written
+    once, as they come of a sample."""
+    t = checkpoint(df.repartitionByRange(width(df), *keys, x).withColumn("part_", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = t.groupBy(*keys, "part_").agg(*[F.sum(c).alias(f"s_{c}") for c in columns])
+    sums = sums.select(*[F.col(k).alias(f"k_{k}") for k in [*keys, "part_"]], *[F.coalesce(F.sum(f"s_{c}").over(before), F.lit(0)).alias(f"b_{c}") for c in columns])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in [*keys, "part_"]])
+    inside = Window.partitionBy(*keys, "part_").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumns({f"in_{c}": F.sum(c).over(inside) for c in columns}).join(sums, on)
+    return t.select(*df.columns, *[(F.col(f"in_{c}") + F.col(f"b_{c}")).alias(f"upto_{c}") for c in columns])
+
+
+def tied_ranks(df: DataFrame, x: str, keys: list[str], ranges: bool = False) -> DataFrame:
+    """df with `rank_`: average rank of x within keys. Counts per distinct value come first, so ties cost one row. With ranges, no task gets
+    all distinct values of a key (see running); without, a key's distinct values are one window, for keys of bounded size."""
     v = df.groupBy(*keys, x).agg(F.count("*").alias("n_"))
+    if ranges:
+        v = running(v, keys, x, ["n_"]).withColumn("rank_", F.col("upto_n_") - (F.col("n_") - 1) / 2).drop("n_", "upto_n_")
+        return df.join(v, [*keys, x])
     w = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
     v = v.withColumn("rank_", F.sum("n_").over(w) - (F.col("n_") - 1) / 2).drop("n_")
     return df.join(v, [*keys, x])
@@ -44,7 +65,7 @@ def tied_ranks(df: DataFrame, x: str, keys: list[str]) -> DataFrame:
 
 def auroc(df: DataFrame, score: str, positive: str, keys: list[str]) -> DataFrame:
     """(keys, auroc): chance that a positive scores higher, ties count half; null where a class is missing."""
-    t = tied_ranks(df, score, keys)
+    t = tied_ranks(df, score, keys, ranges=True)
     pos = F.sum(positive)
     neg = F.count("*") - pos
     u = F.sum(F.when(F.col(positive) == 1, F.col("rank_"))) - pos * (pos + 1) / 2
@@ -67,10 +88,9 @@ def holm(tests: DataFrame, alpha: float) -> DataFrame:
 def ks_statistic(df: DataFrame, x: str, side: str) -> DataFrame:
     """Largest distance of two distributions; side is 0 or 1. Counts per distinct value come first."""
     v = df.groupBy(x).agg(F.sum(1 - F.col(side)).alias("a"), F.sum(side).alias("b"))
-    w = Window.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    gap = F.abs(F.sum("a").over(w) / F.sum("a").over(every) - F.sum("b").over(w) / F.sum("b").over(every))
-    return v.withColumn("gap", gap).agg(F.max("gap").alias("ks"))
+    all_a, all_b = v.agg(F.sum("a"), F.sum("b")).first()
+    gap = F.abs(F.col("upto_a") / F.lit(all_a) - F.col("upto_b") / F.lit(all_b))
+    return running(v, [], x, ["a", "b"]).agg(F.max(gap).alias("ks"))
 
 
 def isotonic(df: DataFrame, x: str, y: str, increasing: bool = True) -> DataFrame:
