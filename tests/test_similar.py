@@ -55,6 +55,19 @@ def test_alike_pairs(spark, percent):
     assert got == sorted(want) and len(want) > 20
 
 
+def test_alike_pairs_of_texts_that_share_phrases(spark, monkeypatch):
+    """Over several blocks; no rows for what texts only share: the join by chunks made one for nearly every two of them."""
+    monkeypatch.setattr(similar, "BLOCK", 40, raising=False)
+    draw = random.Random(3)
+    name = lambda: "".join(draw.choice(["bal", "dog", "fet", "kig", "mop", "ſan", "𝔸b"]) for _ in range(2))
+    texts = [f"All that plantation bounding north east upon the landes of {name()} {name()} of {name()}" for _ in range(120)]
+    texts = sorted({changed(draw, t, draw.randrange(6)) for t in texts for _ in range(2)} | {"a", "b", "ab", "a" * 300, "a" * 340})
+    pairs = similar.alike_pairs(spark.createDataFrame([(t,) for t in texts], "text string"), 90)
+    want = [(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :] if ratio(a, b) >= 0.9 - 1e-12]
+    assert rows(pairs.select("a", "b")) == sorted(want) and 100 < len(want) < 20_000
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_window_pairs_and_groups(spark):
     draw = random.Random(1)
     keys = ["".join(draw.choice("abcd") for _ in range(draw.randrange(0, 25))) for _ in range(60)]
