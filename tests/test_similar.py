@@ -152,3 +152,20 @@ def test_swap_screen_holds_readings_against_all_labels(spark):
     con = oracle.duck(oracle.Path(d))
     assert oracle.difference(REGISTRY.queries["j_swap_all"](spark, d), con, REGISTRY.sql["j_swap_all"]) == ""
     assert REGISTRY.queries["j_swap_all"](spark, d).count() == 8
+
+
+def test_label_components_of_labels_that_share_phrases(spark, monkeypatch, tmp_path):
+    from collections import Counter
+
+    from scrivener.plans.catalog import REGISTRY
+
+    draw, seen = random.Random(5), []
+    whole = similar.components
+    monkeypatch.setattr(similar, "components", lambda links, nodes=None: (seen.append(links._jdf.queryExecution().optimizedPlan().toString()), whole(links, nodes))[1])
+    labels = [f"The vestry ordered {draw.choice(['Dog', 'Fet', 'Kig'])}{draw.choice(['bal', 'mop', 'nor'])} to mend the {draw.choice(['stony', 'upper'])} wharf" for _ in range(60)]
+    labels = [" ".join(changed(draw, x, draw.randrange(9)).split()) for x in labels]
+    spark.createDataFrame([(i, f"L{i}", x, None) for i, x in enumerate(labels)], "row_no long, ID string, Target string, labelled_at timestamp").write.parquet(str(tmp_path / "train.parquet"))
+    groups = Counter(find_groups(60, [(i, j) for i in range(60) for j in range(i + 1, 60) if ratio(labels[i], labels[j]) >= 0.9 - 1e-12]))
+    want = Counter(n for n in groups.values() if n > 1)
+    assert rows(REGISTRY.queries["m_label_components"](spark, str(tmp_path))) == sorted(want.items()) and want
+    assert "substring(" not in seen[0]  # no rows for chunks of labels
