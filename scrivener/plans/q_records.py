@@ -133,9 +133,10 @@ def x_record_fields(spark, d):
 
 @R.add("with a as (select row_no, nullif(trim(regexp_extract(Target, '(?i)area\\s*:?\\s*([0-9]+ acres? [0-9]+ perch[a-z]*)', 1)), '') as area from train where Target is not null) select row_no, cast(regexp_extract(area, '^([0-9]+)', 1) as int) as acres, cast(regexp_extract(area, '([0-9]+) perch', 1) as int) as perches from a where area is not null")
 def x_area(spark, d):
-    area = F.regexp_extract("Target", r"(?i)area\s*:?\s*([0-9]+ acres? [0-9]+ perch[a-z]*)", 1)
-    t = table(spark, d, "train").where("Target is not null").select("row_no", area.alias("area")).where("area <> ''")
-    return t.select("row_no", F.regexp_extract("area", "^([0-9]+)", 1).cast("int").alias("acres"), F.regexp_extract("area", "([0-9]+) perch", 1).cast("int").alias("perches"))
+    """Acres and perches of labels, in letters of either case; a number that no int holds is null. The SQL stops at both."""
+    found = lambda i: F.regexp_extract("Target", r"(?iu)area[\t\n\f\r ]*:?[\t\n\f\r ]*(([0-9]+) acres? ([0-9]+) perch[a-z]*)", i)
+    number = lambda i: found(i).try_cast("int")
+    return table(spark, d, "train").where("Target is not null").where(found(1) != "").select("row_no", number(2).alias("acres"), number(3).alias("perches"))
 
 
 _NAMES = [p.lower().replace("st. ", "(st\\.?|saint)\\s*").replace("christ ", "christ\\s*") for p in C.PARISHES]
