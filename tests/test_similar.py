@@ -182,3 +182,38 @@ def test_label_components_of_labels_that_share_phrases(spark, monkeypatch, tmp_p
     want = Counter(n for n in groups.values() if n > 1)
     assert rows(REGISTRY.queries["m_label_components"](spark, str(tmp_path))) == sorted(want.items()) and want
     assert "substring(" not in seen[0]  # no rows for chunks of labels
+
+
+def test_label_components_join_no_labels(spark, monkeypatch, tmp_path):
+    """Links have their nodes from the pairs; the join of pairs to labels sent all labels over the driver."""
+    from collections import Counter
+
+    from scrivener.plans.catalog import REGISTRY
+
+    draw, seen = random.Random(9), []
+    whole = similar.components
+    monkeypatch.setattr(similar, "components", lambda links, nodes=None: (seen.append(links._jdf.queryExecution().optimizedPlan().toString()), whole(links, nodes))[1])
+    base = [" ".join(draw.choice(["bal", "dog", "fet", "kigmop", "norſ"]) for _ in range(12)) for _ in range(25)]
+    labels = [" ".join(changed(draw, draw.choice(base), draw.randrange(5)).split()) for _ in range(90)] + ["", "", "", base[0], base[0]]
+    spark.createDataFrame([(i, f"L{i}", x, None) for i, x in enumerate(labels)], "row_no long, ID string, Target string, labelled_at timestamp").write.parquet(str(tmp_path / "train.parquet"))
+    n = len(labels)
+    groups = Counter(find_groups(n, [(i, j) for i in range(n) for j in range(i + 1, n) if labels[i] == labels[j] or labels[i] and labels[j] and ratio(labels[i], labels[j]) >= 0.9 - 1e-12]))
+    want = Counter(k for k in groups.values() if k > 1)
+    assert rows(REGISTRY.queries["m_label_components"](spark, str(tmp_path))) == sorted(want.items()) and len(want) > 2
+    assert "Join" not in seen[0]
+
+
+def test_alike_pairs_with_keys_over_wide_blocks(spark, monkeypatch):
+    """The smallest key of each text stands beside it; beyond SPREAD blocks they grow, so a text is not sent to ever more of them."""
+    monkeypatch.setattr(similar, "BLOCK", 20)
+    monkeypatch.setattr(similar, "TILE", (8, 16))
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("abcdef ") for _ in range(draw.choice([1, 8, 30, 70, 300]))) for _ in range(60)]
+    texts = list({changed(draw, x, draw.randrange(4)) for x in texts for _ in range(5)} - {""})
+    keyed = [(x, draw.randrange(10**12)) for x in texts for _ in range(2)]
+    least = {x: min(k for y, k in keyed if y == x) for x in texts}
+    t = spark.createDataFrame(keyed + [(None, 1), ("", 2)], "text string, row_no long")
+    want = [(a, b, least[a], least[b]) for a in texts for b in texts if a < b and ratio(a, b) >= 0.9 - 1e-12]
+    assert rows(similar.alike_pairs(t, 90, "row_no").select("a", "b", "key_a", "key_b")) == sorted(want) and len(want) > 50
+    number = lambda n: similar.blocks(spark.range(n).select(F.lit("a").alias("text")), "text", similar.SPREAD)
+    assert [number(n) for n in (0, 20, 60, 400, 480, 800)] == [1, 1, 3, 8, 8, 10]
