@@ -346,6 +346,7 @@ def nearest_edits(queries: DataFrame, texts: DataFrame) -> DataFrame:
     Exact. k edits spoil at most k of a query's disjoint chunks of 8 characters, so of k + 1 one stands whole in the text, at most k characters
     off; which chunks are taken (rare ones, by a sample of the texts) changes speed only. Queries too short for their bound meet all texts in
     groups of two blocks, by their bags: first a few texts a block for a bound that holds over all blocks, then all that may be nearer.
+    Joins are merges: Catalyst takes the places of chunks, some eighty a text, for as large as the texts' file and would send them over the driver.
     """
     q = checkpoint(queries.select("text", F.col("bound").cast("int").alias("bound")).where("bound >= 0 and text is not null").distinct().withColumn("len", F.length("text")))
     t = checkpoint(texts.select(F.col("text").alias("other")).where("other is not null").distinct())
@@ -354,16 +355,16 @@ def nearest_edits(queries: DataFrame, texts: DataFrame) -> DataFrame:
     every = long.select(F.xxhash64("other").alias("of"), F.length("other").alias("size"), F.inline(grams))
     often = long.where("pmod(xxhash64(other), 16) = 0").select(F.inline(grams)).groupBy("g").agg(F.count("*").alias("f"))
     chunks = F.expr("transform(sequence(0, len div 8 - 1), i -> struct(xxhash64(substring(text, i * 8 + 1, 8)) as g, i * 8 as at))")
-    own = q.where("len >= 8L * (bound + 1L)").select("text", "bound", "len", F.inline(chunks)).withColumnRenamed("at", "pa").join(often, "g", "left")
+    own = q.where("len >= 8L * (bound + 1L)").select("text", "bound", "len", F.inline(chunks)).withColumnRenamed("at", "pa").join(often.hint("merge"), "g", "left")
     w = Window.partitionBy("text", "bound").orderBy(F.coalesce("f", F.lit(0)), "g", "pa")
     keys = own.withColumn("r", F.row_number().over(w)).where("r <= bound + 1").select("text", "bound", "len", "g", "pa")
-    pairs = keys.join(every, "g").where("abs(len - size) <= bound and abs(pa - at) <= bound").select("text", "bound", "of").distinct()
-    pairs = pairs.join(t.withColumn("of", F.xxhash64("other")), "of").withColumn("best", F.expr("levenshtein(text, other, bound)")).where("best >= 0")
+    pairs = keys.join(every.hint("merge"), "g").where("abs(len - size) <= bound and abs(pa - at) <= bound").select("text", "bound", "of").distinct()
+    pairs = pairs.join(t.withColumn("of", F.xxhash64("other")).hint("merge"), "of").withColumn("best", F.expr("levenshtein(text, other, bound)")).where("best >= 0")
     near = pairs.groupBy("text", "bound").agg(F.min("best").alias("best"))
     wide, n = q.where("len < 8L * (bound + 1L)").select("text", "bound"), blocks(t, "other")
     least = lambda d: d.groupBy("text", "bound").agg(F.min("best").alias("best"))
     first = checkpoint(least(_nearest_by_bags(wide.withColumn("most", F.col("bound")), t, n, 4)))
-    rest = wide.join(first, ["text", "bound"], "left").select("text", "bound", F.coalesce(F.col("best") - 1, "bound").alias("most"))
+    rest = wide.join(first.hint("merge"), ["text", "bound"], "left").select("text", "bound", F.coalesce(F.col("best") - 1, "bound").alias("most"))
     nearer = _nearest_by_bags(rest.where("most >= 0"), t, n, None)
     return near.unionByName(least(first.unionByName(nearer)))
 

@@ -239,8 +239,8 @@ def j_swap_all(spark, d):
 
     h = base.candidates(spark, d).where("rank = 0 and source = 'ctc'").groupBy("ID").agg(F.min_by(clean(F.col("text")), "cand_no").alias("text"))
     ref = base.labels(spark, d).select("ID", clean(F.col("Target")).alias("ref"))
-    own = checkpoint(h.join(ref, "ID").select("ID", "text", F.levenshtein("text", "ref").alias("own")).withColumn("bound", F.col("own") - 1))
-    return own.join(nearest_edits(own, ref.select(F.col("ref").alias("text"))), ["text", "bound"]).select("ID", "own", "best")
+    own = checkpoint(h.join(ref.hint("merge"), "ID").select("ID", "text", F.levenshtein("text", "ref").alias("own")).withColumn("bound", F.col("own") - 1))
+    return own.join(nearest_edits(own, ref.select(F.col("ref").alias("text"))).hint("merge"), ["text", "bound"]).select("ID", "own", "best")
 
 
 @R.add(W(sql.POOL, _PT, f"pr as (select a.ID, a.cand_id as a, b.cand_id as b, {sql.loss(sql.wdist(sql.split('a.hyp'), sql.split('b.hyp')), 'levenshtein(a.hyp, b.hyp)')} as l from pt a join pt b on a.ID = b.ID and a.cand_id <> b.cand_id)", "nn as (select a as cand_id, b as nearest, round(l, 6) as loss, row_number() over (partition by a order by round(l, 9), b) as r from pr)") + "select cand_id, nearest, loss from nn where r = 1")

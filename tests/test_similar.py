@@ -167,6 +167,15 @@ def test_swap_screen_holds_readings_against_all_labels(spark):
     assert REGISTRY.queries["j_swap_all"](spark, d).count() == 8
 
 
+def test_swap_screen_sends_no_labels_over_the_driver(spark):
+    """At Spark's own threshold the places of all labels' chunks were broadcast, planned by the size of the file."""
+    from scrivener.plans.catalog import REGISTRY
+
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") in ("10485760b", "10MB", "10485760")
+    plan = REGISTRY.queries["j_swap_all"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_label_components_of_labels_that_share_phrases(spark, monkeypatch, tmp_path):
     from collections import Counter
 
