@@ -226,3 +226,39 @@ def test_alike_pairs_with_keys_over_wide_blocks(spark, monkeypatch):
     assert rows(similar.alike_pairs(t, 90, "row_no").select("a", "b", "key_a", "key_b")) == sorted(want) and len(want) > 50
     number = lambda n: similar.blocks(spark.range(n).select(F.lit("a").alias("text")), "text", similar.SPREAD)
     assert [number(n) for n in (0, 20, 60, 400, 480, 800)] == [1, 1, 3, 8, 8, 10]
+
+
+@pytest.mark.parametrize("block", [15, 20_000])
+def test_label_neighbours_whatever_the_ratio(spark, monkeypatch, tmp_path, block):
+    """Every line has its nearest other label; only pairs at 0.9 or more were found, so most labels had none."""
+    from scrivener.plans.catalog import REGISTRY
+
+    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "BATCH", 16 if block == 15 else 4_096, raising=False)
+    draw = random.Random(11)
+    base = ["".join(draw.choice("abcde fſ𝔸") for _ in range(draw.choice([1, 5, 40, 63, 64, 100, 126, 127, 150]))) for _ in range(25)]
+    labels = [" ".join(changed(draw, draw.choice(base), draw.randrange(40)).split()) for _ in range(70)] + ["", "", base[0].strip(), "zzz", "qq"]
+    labels += labels[5:9] + labels[5:6]
+    order = draw.sample(range(len(labels)), len(labels))
+    spark.createDataFrame([(order[i], f"L{i}", x, None) for i, x in enumerate(labels)], "row_no long, ID string, Target string, labelled_at timestamp").write.parquet(str(tmp_path / "train.parquet"))
+    labels = [" ".join(x.split()) for x in labels]
+    like = lambda i, j: 1.0 if labels[i] == labels[j] else ratio(labels[i], labels[j])
+    want = {}
+    for i, x in enumerate(labels):
+        r, j = min((-like(i, j), order[j]) for j in range(len(labels)) if j != i)
+        want[f"L{i}"] = (x, f"L{order.index(j)}", labels[order.index(j)], -r)
+    got = REGISTRY.queries["j_label_neighbours"](spark, str(tmp_path)).select("ID", "label", "nn_ID", "nn_label", "ratio")
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == want and got.count() == len(labels)
+    assert 10 < sum(v[3] < 0.7 for v in want.values()) and 5 < sum(v[3] == 1 for v in want.values())
+    counts = {p: sum(v[3] >= p / 100 - 1e-12 for v in want.values()) for p in (100, 95, 90, 80, 70)}
+    assert rows(REGISTRY.queries["j_label_thresholds"](spark, str(tmp_path))) == sorted(counts.items())
+
+
+def test_label_neighbours_of_one_line_and_of_none(spark, tmp_path):
+    from scrivener.plans.catalog import REGISTRY
+
+    schema = "row_no long, ID string, Target string, labelled_at timestamp"
+    for name, some in (("one", [(1, "L1", "a b", None)]), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(str(tmp_path / name / "train.parquet"))
+        got = REGISTRY.queries["j_label_neighbours"](spark, str(tmp_path / name)).select("ID", "nn_ID", "nn_label", "ratio")
+        assert rows(got) == [("L1", None, None, None)][: len(some)]
